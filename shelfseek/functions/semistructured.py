@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfseek.functions.text import JAVASCRIPT_SPACE_CLASS, clean_display_text, strip_js
 
-_IMAGES = "array<struct<large:array<string>,hi_res:array<string>,thumb:array<string>>>"
-_DETAILS = "array<map<string,string>>"
 _RESPONSE = (
     "struct<candidates:array<struct<"
     "content:struct<parts:array<struct<text:string>>>,"
@@ -16,10 +14,10 @@ _RESPONSE = (
 )
 
 
-def _single_document(c: Column, array_type: str) -> Column:
-    """Parse one JSON document strictly: text after the document makes the whole value null."""
-    parsed = F.from_json(F.concat(F.lit("["), c, F.lit("]")), array_type)
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+def _json(c: Column) -> Column:
+    """One JSON document as a variant, null unless the whole text is exactly one document."""
+    documents = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(documents) == 1, F.get(documents, F.lit(0)))
 
 
 def first_image(c: Column) -> Column:
@@ -27,9 +25,10 @@ def first_image(c: Column) -> Column:
     text = F.replace(c, F.lit("'"), F.lit('"'))
     text = F.replace(text, F.lit("array(["), F.lit("["))
     text = F.regexp_replace(text, r"\],[\t-\r\x{FEFF}\p{Z}]*dtype=object\)", "]")
-    images = _single_document(text, _IMAGES)
+    images = _json(text)
     firsts = [
-        F.nullif(F.get(images[size], F.lit(0)), F.lit("")) for size in ("large", "hi_res", "thumb")
+        F.nullif(F.try_variant_get(images, f"$.{size}[0]", "string"), F.lit(""))
+        for size in ("large", "hi_res", "thumb")
     ]
     return F.coalesce(*firsts)
 
@@ -42,7 +41,7 @@ def details_map(c: Column) -> Column:
     text = c
     for printed, json in (("'", '"'), ("True", "true"), ("False", "false"), ("None", "null")):
         text = F.replace(text, F.lit(printed), F.lit(json))
-    return _single_document(text, _DETAILS)
+    return F.try_variant_get(_json(text), "$", "map<string,string>")
 
 
 def details_fallback(c: Column) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # What Python's str.strip() and what JavaScript's trim() remove.
 _SEPARATORS = (
-    "\xa0            "
-    "    　"
+    "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 PYTHON_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85" + _SEPARATORS
-JAVASCRIPT_SPACE = "\t\n\x0b\x0c\r ﻿" + _SEPARATORS
+JAVASCRIPT_SPACE = "\t\n\x0b\x0c\r \ufeff" + _SEPARATORS
 # The same sets as regular-expression classes.
 PYTHON_SPACE_CLASS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 JAVASCRIPT_SPACE_CLASS = r"[\t-\r\x{FEFF}\p{Z}]"

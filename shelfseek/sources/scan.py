@@ -65,21 +65,22 @@ def csv_descriptions(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return rows.where(has_text(F.col("description"))).select("product_id", F.col("description").alias("text"))
 
 
-def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(product_id, text): every ``.txt`` file of a folder, numbered by its place among all files."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    )
-    numbered = positional_ids(listing, ["path"], "product_id")
+def text_files(spark: SparkSession, folder: str, folder_pattern: str = "([^/]*)/[^/]*$") -> DataFrame:
+    """(product_id, folder, text): every ``.txt`` file, numbered by its place among all files.
+
+    ``folder`` is what the first group of ``folder_pattern`` finds in the file's path.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     texts = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt").text(folder)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     # The two readers print a path differently (file:/x and file:///x).
     plain = F.regexp_replace("path", r"^([a-z0-9]+):/+", "$1:/")
-    return texts.withColumn("path", plain).join(numbered.withColumn("path", plain), "path").select(
-        "product_id", "text"
+    numbered = positional_ids(listing.select(plain.alias("path")), ["path"], "product_id")
+    return texts.withColumn("path", plain).join(numbered, "path").select(
+        "product_id", F.regexp_extract("path", folder_pattern, 1).alias("folder"), "text"
     )
 
 
@@ -103,7 +104,7 @@ def load_documents(
         return catalog.select("product_id", F.col(text_col).alias("text"))
     if path_exists(spark, csv_path):
         return csv_descriptions(spark, csv_path, csv_schema)
-    return text_files(spark, text_folder)
+    return text_files(spark, text_folder).select("product_id", "text")
 
 
 def jdbc_options(
