@@ -35,15 +35,18 @@ def latest(spark: SparkSession, base: str) -> dict[str, tuple[str, str]]:
     return {row["name"]: (row["path"], row["fingerprint"]) for row in rows}
 
 
-def publish(spark: SparkSession, base: str, tables: dict[str, DataFrame], fingerprint: str = "") -> None:
+def publish(
+    spark: SparkSession, base: str, tables: dict[str, DataFrame], fingerprint: str = "", replace_all: bool = False
+) -> None:
     """Write the tables and make them the published version together.
 
-    Tables of the previous version that are not given stay published. Two runs that claim the same
+    Tables of the previous version that are not given stay published, unless ``replace_all``. Two runs that claim the same
     version cannot both succeed: the second one finds the manifest in place and fails.
     """
     versions = _versions(spark, base)
     last = versions.agg(F.max("version")).first()[0] if versions is not None else None
-    entries = {name: (name, path, mark) for name, (path, mark) in latest(spark, base).items()}
+    kept = {} if replace_all else latest(spark, base)
+    entries = {name: (name, path, mark) for name, (path, mark) in kept.items()}
     for name, df in tables.items():
         path = f"{base}/runs/{new_path(spark, name).rsplit('/', 1)[1]}"
         df.write.parquet(path)
