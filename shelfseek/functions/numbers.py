@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfseek.functions.arrays import let
 from shelfseek.functions.text import strip
 
 # Fixed value: the decimal literals that count as a number (underscores between digits allowed).
@@ -19,9 +20,10 @@ def finite(c: Column) -> Column:
 
 def parsed_number(c: Column) -> Column:
     """A double from text, null where the text is no finite number."""
-    text = strip(c)
-    number = F.regexp_replace(text, "_", "").try_cast("double")
-    return finite(F.when(text.rlike(NUMBER), number))
+    def number(text: Column) -> Column:
+        return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+
+    return let(let(strip(c), number), finite)
 
 
 def price(c: Column) -> Column:

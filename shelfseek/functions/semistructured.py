@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfseek.functions.arrays import let
 from shelfseek.functions.text import JAVASCRIPT_SPACE_CLASS, clean_display_text, strip_js
 
 _RESPONSE = (
@@ -15,9 +16,8 @@ _RESPONSE = (
 
 
 def _json(c: Column) -> Column:
-    """One JSON document as a variant, null unless the whole text is exactly one document."""
-    documents = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(documents) == 1, F.get(documents, F.lit(0)))
+    """One JSON document as a variant under ``$.doc``; null where anything else is in the text."""
+    return F.try_parse_json(F.concat(F.lit('{"doc":'), c, F.lit("}")))
 
 
 def first_image(c: Column) -> Column:
@@ -25,12 +25,15 @@ def first_image(c: Column) -> Column:
     text = F.replace(c, F.lit("'"), F.lit('"'))
     text = F.replace(text, F.lit("array(["), F.lit("["))
     text = F.regexp_replace(text, r"\],[\t-\r\x{FEFF}\p{Z}]*dtype=object\)", "]")
-    images = _json(text)
-    firsts = [
-        F.nullif(F.try_variant_get(images, f"$.{size}[0]", "string"), F.lit(""))
-        for size in ("large", "hi_res", "thumb")
-    ]
-    return F.coalesce(*firsts)
+    def first(images: Column) -> Column:
+        return F.coalesce(
+            *[
+                F.nullif(F.try_variant_get(images, f"$.doc.{size}[0]", "string"), F.lit(""))
+                for size in ("large", "hi_res", "thumb")
+            ]
+        )
+
+    return let(_json(text), first)
 
 
 def details_map(c: Column) -> Column:
@@ -41,7 +44,7 @@ def details_map(c: Column) -> Column:
     text = c
     for printed, json in (("'", '"'), ("True", "true"), ("False", "false"), ("None", "null")):
         text = F.replace(text, F.lit(printed), F.lit(json))
-    return F.try_variant_get(_json(text), "$", "map<string,string>")
+    return F.try_variant_get(_json(text), "$.doc", "map<string,string>")
 
 
 def details_fallback(c: Column) -> Column:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfseek.functions.text import PYTHON_SPACE_CLASS, sentences
+from shelfseek.functions.arrays import item_rows
+from shelfseek.functions.text import sentences
 from shelfseek.operators.keys import chunk_key
 
 CHUNK_SIZE = 512
@@ -69,8 +70,8 @@ def split_text(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
 
 
 def _chunk_rows(df: DataFrame, pieces: Column) -> DataFrame:
-    kept = [name for name in df.columns if name not in ("text",)]
-    rows = df.select(*kept, F.posexplode(pieces).alias("chunk_idx", "chunk_text"))
+    kept = [name for name in df.columns if name != "text"]
+    rows = item_rows(df, pieces, "chunk_idx", "chunk_text")
     key = chunk_key(F.col("product_id"), F.col("chunk_idx"))
     return rows.select(key.alias("chunk_id"), *kept, "chunk_idx", "chunk_text")
 
@@ -88,25 +89,33 @@ def character_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
 
 def paragraphs(text: Column, target_words: int = PARAGRAPH_WORDS) -> Column:
     """Whole sentences packed in order until the next one would exceed ``target_words``."""
-    words = lambda s: F.size(F.filter(F.split(s, f"{PYTHON_SPACE_CLASS}+"), lambda w: w != ""))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("words"))
+    # A sentence has single spaces only, and none at its ends.
+    sized = F.transform(
+        sentences(text),
+        lambda s: F.struct(s.alias("s"), (F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1).alias("n")),
+    )
+
+    def closed(state: Column) -> Column:
+        return F.concat(state["done"], F.array(F.array_join(state["open"], " ")))
 
     def step(state: Column, sentence: Column) -> Column:
-        n = words(sentence)
-        full = (state["words"] + n > target_words) & (F.size(state["open"]) > 0)
-        closed = F.concat(state["done"], F.array(F.array_join(state["open"], " ")))
-        return F.struct(
-            F.when(full, closed).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array(sentence)).otherwise(F.concat(state["open"], F.array(sentence))).alias("open"),
-            F.when(full, n).otherwise(state["words"] + n).alias("words"),
+        alone, n = F.array(sentence["s"]), sentence["n"]
+        full = (state["words"] + n > target_words) & (state["words"] > 0)
+        return F.when(
+            full, F.struct(closed(state).alias("done"), alone.alias("open"), n.alias("words"))
+        ).otherwise(
+            F.struct(
+                state["done"].alias("done"), F.concat(state["open"], alone).alias("open"),
+                (state["words"] + n).alias("words"),
+            )
         )
 
     def finish(state: Column) -> Column:
-        last = F.array(F.array_join(state["open"], " "))
-        return F.when(F.size(state["open"]) > 0, F.concat(state["done"], last)).otherwise(state["done"])
+        return F.when(state["words"] > 0, closed(state)).otherwise(state["done"])
 
-    return F.aggregate(sentences(text), start, step, finish)
+    return F.aggregate(sized, start, step, finish)
 
 
 def paragraph_chunks(docs: DataFrame, target_words: int = PARAGRAPH_WORDS) -> DataFrame:

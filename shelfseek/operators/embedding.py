@@ -1,10 +1,13 @@
-"""Turn texts into vectors: feature hashing in the JVM, or any batch function inside the tasks."""
+"""Turn texts into vectors: feature hashing, or any batch function inside the tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +19,26 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 
 def hashed_vector(text: Column, dim: int = DIM) -> Column:
-    """Unit-length term counts, each word hashed to one of ``dim`` places; all zero without words."""
+    """Unit-length term counts, each word hashed to one of ``dim`` places; all zero without words.
+
+    A word's place is the number in the first four bytes of its MD5, modulo ``dim``. Words and hashes
+    are made in the JVM; counting and scaling take one Arrow batch at a time.
+    """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    place = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    places = F.transform(words, lambda w: F.pmod(place(w), F.lit(dim)).cast("int"))
-    state = F.struct(places.alias("p"))
-    counts = F.transform(
-        F.array(state),
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(s["p"]) - F.size(F.array_remove(s["p"], i))
-        ),
-    )
-
-    def scaled(vector: Column) -> Column:
-        squares = F.aggregate(vector, F.lit(0).cast("bigint"), lambda total, x: total + x * x)
-        return F.transform(F.array(F.struct(vector.alias("v"), F.sqrt(squares).alias("n"))), lambda s: F.transform(
-            s["v"], lambda x: F.coalesce(F.try_divide(x.cast("double"), s["n"]), F.lit(0.0)).cast("float")
-        ))[0]
-
-    return F.transform(counts, scaled)[0]
+    hashes = F.transform(words, lambda w: F.unhex(F.substring(F.md5(w.cast("binary")), 1, 8)))
+
+    @F.arrow_udf("array<float>")
+    def scaled_counts(rows: pa.Array) -> pa.Array:
+        flat = rows.flatten().cast(pa.binary(4))
+        numbers = np.frombuffer(flat.buffers()[1], ">u4", len(flat), flat.offset * 4) if len(flat) else []
+        row = np.repeat(np.arange(len(rows)), np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))
+        cells = row * dim + np.asarray(numbers, np.int64) % dim
+        counts = np.bincount(cells, minlength=len(rows) * dim).reshape(len(rows), dim)
+        size = np.sqrt((counts * counts).sum(1, keepdims=True))
+        values = (counts / np.where(size == 0, 1.0, size)).astype(np.float32).ravel()
+        return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, dim, dtype=np.int32), values)
+
+    return scaled_counts(hashes)
 
 
 def embed(df: DataFrame, text_col: str, dim: int = DIM, out_col: str = "embedding") -> DataFrame:

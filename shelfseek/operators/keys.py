@@ -46,6 +46,9 @@ CHUNK_BITS = 24
 def chunk_key(product_id: Column, chunk_idx: Column) -> Column:
     """One BIGINT per chunk that sorts like (product, position).
 
-    A text holds at most 2**31 bytes, so it cannot yield 2**24 chunks of ordinary size.
+    A text holds at most 2**31 bytes, so it cannot yield 2**24 chunks of ordinary size; numbers beyond
+    the room of the key raise an error.
     """
-    return F.shiftleft(product_id.cast("bigint"), CHUNK_BITS).bitwiseOR(chunk_idx.cast("bigint"))
+    fits = product_id.between(0, 2 ** (63 - CHUNK_BITS) - 1) & (chunk_idx < 2**CHUNK_BITS)
+    key = F.shiftleft(product_id.cast("bigint"), CHUNK_BITS).bitwiseOR(chunk_idx.cast("bigint"))
+    return F.when(fits, key).otherwise(F.raise_error(F.lit("chunk key out of range")).cast("bigint"))

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfseek.functions import vectors as V
 from shelfseek.operators.topk import top_k_per_group
 
 L2_SQUARED = "l2_squared"
@@ -40,6 +40,20 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return values.astype(np.float64).reshape(-1, dim)
 
 
+def _usable(table, dim: int):
+    """The rows whose vector is not null, has ``dim`` items and only finite ones."""
+    column = table.column("embedding")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    right = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    if not pc.all(right).as_py():
+        table, column = table.filter(right), column.filter(right)
+    if len(column) == 0:
+        return table
+    finite = np.isfinite(_matrix(column, dim)).all(axis=1)
+    return table if finite.all() else table.filter(pa.array(finite))
+
+
 def _columns(table, *names: str) -> list[np.ndarray]:
     return [np.asarray(table.column(name)) for name in names]
 
@@ -144,6 +158,7 @@ class _Best:
 def _scan(batches, queries: _Queries, dim: int) -> _Best:
     best = _Best(queries)
     for batch in batches:
+        batch = _usable(batch, dim)
         if batch.num_rows == 0:
             continue
         names = batch.schema.names
@@ -180,7 +195,8 @@ def _sliced_search(vectors: DataFrame, queries: DataFrame, dim: int, measure: st
     right = right.withColumn("vs", numbers(vector_slices))
 
     def search(vector_slice: pa.Table, query_slice: pa.Table) -> pa.Table:
-        best = _scan(vector_slice.to_batches(max_chunksize=10_000), _Queries(query_slice, dim, measure), dim)
+        known = _Queries(_usable(query_slice, dim), dim, measure)
+        best = _scan(vector_slice.to_batches(max_chunksize=10_000), known, dim)
         return pa.Table.from_pydict(best.result())
 
     return left.groupBy("qs", "vs").cogroup(right.groupBy("qs", "vs")).applyInArrow(search, _HITS)
@@ -200,13 +216,12 @@ def nearest(
     one minus the similarity. Optional columns ``cell`` (vectors) and ``cells`` (queries) restrict each
     query to the vectors of its cells.
     """
-    usable = vectors.where(V.is_valid(F.col("embedding"), dim)).select(
-        "chunk_id", "product_id", "embedding", *[c for c in ("cell",) if c in vectors.columns]
-    )
-    usable = usable.withColumns(
-        {name: F.col(name).cast("bigint") for name in ("chunk_id", "product_id")}
+    stored = vectors.select(
+        *[F.col(name).cast("bigint").alias(name) for name in ("chunk_id", "product_id")],
+        "embedding",
+        *[c for c in ("cell",) if c in vectors.columns],
     )
-    asked = queries.where(V.is_valid(F.col("embedding"), dim) & (F.col("k") >= 1)).select(
+    asked = queries.where(F.col("k") >= 1).select(
         F.col("query_id").cast("bigint").alias("query_id"),
         F.col("k").cast("int").alias("k"),
         "embedding",
@@ -214,6 +229,8 @@ def nearest(
     )
     most = max_broadcast_numbers // dim
     table = asked.limit(most + 1).toArrow()
+    if table.num_rows <= most:
+        table = _usable(table, dim)
     if table.num_rows == 0:
         return vectors.sparkSession.createDataFrame(
             [], "query_id bigint, chunk_id bigint, product_id bigint, distance double, rank int"
@@ -225,8 +242,8 @@ def nearest(
         k_max = int(asked.agg(F.max("k")).first()[0])
         small = False
     if small:
-        hits = _broadcast_search(usable, table, dim, measure)
+        hits = _broadcast_search(stored, table, dim, measure)
     else:
-        hits = _sliced_search(usable, asked, dim, measure, k_max)
+        hits = _sliced_search(stored, asked, dim, measure, k_max)
     ranked = top_k_per_group(hits, ["query_id"], ["distance", "chunk_id"], k_max)
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")

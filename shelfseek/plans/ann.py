@@ -6,8 +6,9 @@ never shuffled by cell for a search: a cell with very many vectors is many files
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.clustering import KMeans
+import json
+
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,48 +19,52 @@ from shelfseek.workspace import new_path
 
 DEFAULT_CELLS = 16
 DEFAULT_PROBES = 4
+TRAINING_ROWS = 1_000_000
 
 
-def train_cells(vectors: DataFrame, dim: int, cells: int = DEFAULT_CELLS, seed: int = 7) -> np.ndarray:
-    """Unit-length cell centres; k-means on the sphere, so that cells follow the cosine measure."""
+def _features(vectors: DataFrame, dim: int) -> DataFrame:
     usable = vectors.where(V.is_valid(F.col("embedding"), dim))
-    features = usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine").fit(features)
-    return np.array(model.clusterCenters())
+    return usable.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+
 
+def train_cells(vectors: DataFrame, dim: int, cells: int = DEFAULT_CELLS, seed: int = 7) -> KMeansModel:
+    """Cell centres by k-means with the cosine measure.
 
-def _cells_by_distance(embedding: Column, centres: np.ndarray) -> Column:
-    """Cell numbers, nearest first. The centres are a few literals: cells × dim numbers."""
-    measured = [
-        F.struct(
-            (-V.cosine(embedding, F.lit([float(x) for x in centre]))).alias("d"), F.lit(i).alias("cell")
-        )
-        for i, centre in enumerate(centres)
-    ]
-    return F.transform(F.array_sort(F.array(*measured)), lambda s: s["cell"])
+    A part of a very large table is enough to place the centres; every vector is still put into a cell.
+    """
+    share = min(1.0, TRAINING_ROWS / max(1, vectors.count()))
+    part = vectors if share == 1.0 else vectors.sample(share, seed)
+    trainer = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10)
+    return trainer.fit(_features(part, dim).select("features"))
 
 
-def write_cells(vectors: DataFrame, centres: np.ndarray, dim: int) -> str:
+def write_cells(vectors: DataFrame, model: KMeansModel, dim: int) -> str:
     """Write the vectors into one folder per cell; returns the path.
 
-    Rows are spread over the writers by (cell, chunk), so a large cell does not end up in one task.
+    The rebalance hint lets Spark split a large cell over several writers and merge small ones.
     """
-    placed = vectors.where(V.is_valid(F.col("embedding"), dim)).withColumn(
-        "cell", F.get(_cells_by_distance(F.col("embedding"), centres), F.lit(0))
-    )
+    placed = model.setPredictionCol("cell").transform(_features(vectors, dim)).drop("features")
     path = new_path(vectors.sparkSession, "cells")
-    placed.write.partitionBy("cell").parquet(path)
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
     return path
 
 
+def _cells_by_similarity(embedding: Column, model: KMeansModel) -> Column:
+    """All cell numbers, nearest first. The centres are one literal of cells x dim numbers."""
+    printed = json.dumps([centre.tolist() for centre in model.clusterCenters()])
+    centres = F.from_json(F.lit(printed), "array<array<double>>")
+    measured = F.transform(
+        centres, lambda centre, cell: F.struct((-V.cosine(embedding, centre)).alias("d"), cell.alias("cell"))
+    )
+    return F.transform(F.array_sort(measured), lambda s: s["cell"])
+
+
 def search_cells(
-    path: str, queries: DataFrame, centres: np.ndarray, dim: int, probes: int = DEFAULT_PROBES
+    path: str, queries: DataFrame, model: KMeansModel, dim: int, probes: int = DEFAULT_PROBES
 ) -> DataFrame:
-    """The k most similar vectors among each query's ``probes`` nearest cells."""
-    spark = queries.sparkSession
-    probed = queries.withColumn(
-        "cells", F.slice(_cells_by_distance(F.col("embedding"), centres), 1, min(probes, len(centres)))
-    )
+    """The k most similar vectors among each query's ``probes`` nearest cells; other cells are not read."""
+    nearest_cells = F.slice(_cells_by_similarity(F.col("embedding"), model), 1, probes)
+    probed = queries.withColumn("cells", nearest_cells)
     wanted = [row[0] for row in probed.select(F.explode("cells")).distinct().collect()]
-    vectors = spark.read.parquet(path).where(F.col("cell").isin(wanted))
+    vectors = queries.sparkSession.read.parquet(path).where(F.col("cell").isin(wanted))
     return nearest(vectors, probed, dim, COSINE)

@@ -15,7 +15,6 @@ from shelfseek.operators import upsert as U
 from shelfseek.operators.keys import continue_ids
 from shelfseek.schemas import CATEGORY, PRODUCT
 from shelfseek.sources.publish import publish
-from shelfseek.workspace import written
 
 
 @dataclass
@@ -68,7 +67,7 @@ def seed(
 
     A row without any text adds no product, but its category is created all the same.
     """
-    cleaned = written(clean_rows(raw), "cleaned")
+    cleaned = clean_rows(raw)
     all_categories, new_categories = U.get_or_create_categories(cleaned, categories)
     texted = cleaned.where(F.col("description").isNotNull())
     added = insert_products(U.with_category(texted, all_categories), products, order_by, at)

@@ -15,6 +15,7 @@ from shelfseek.operators.upsert import load_time
 from shelfseek.registered import views as W
 from shelfseek.registered.registry import query
 from shelfseek.registered.vector_queries import spaced_sql
+from shelfseek.workspace import spread
 
 _WS = W.sql_space()
 _JS = r"[\t-\r\x{FEFF}\p{Z}]"
@@ -239,7 +240,7 @@ def g10(spark, sf_dir):
 
 def _details(spark, sf_dir) -> DataFrame:
     """Events with their properties printed as a Python dictionary, sound and with an apostrophe inside."""
-    events = W.table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    events = spread(W.table(spark, sf_dir, "events").select("event_id", "event_type", "props"), "event_id")
     body = F.replace(F.replace("props", F.lit('"'), F.lit("'")), F.lit("}"), F.lit(""))
     shapes = [
         F.concat(body, F.lit(", 'kind': '"), "event_type", F.lit("', 'True Wireless': True, 'Color': None}")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfseek.functions import vectors as V
+from shelfseek.functions.arrays import item_rows
 from shelfseek.functions.text import sentences, word_tokens
 from shelfseek.operators import catalog as C
 from shelfseek.operators import chunking as K
@@ -47,10 +48,8 @@ def t2(spark, sf_dir):
 @query("t3_sentence_split", f"""WITH {W.sentences_sql()}
 SELECT product_id, i::BIGINT AS position, s AS sentence FROM sents""")
 def t3(spark, sf_dir):
-    rows = W.documents(spark, sf_dir).select("product_id", F.posexplode(sentences(F.col("text"))))
-    return rows.select(
-        "product_id", (F.col("pos") + 1).cast("bigint").alias("position"), F.col("col").alias("sentence")
-    )
+    rows = item_rows(W.documents(spark, sf_dir), sentences(F.col("text")), "place", "sentence")
+    return rows.select("product_id", (F.col("place") + 1).cast("bigint").alias("position"), "sentence")
 
 
 def spaced_sql(c: str) -> str:
@@ -101,7 +100,7 @@ SELECT doc_id AS product_id, b AS place, round(x, 6) AS weight
 FROM (SELECT doc_id, unnest(range({W.DIM})) AS b, unnest(e)::DOUBLE AS x FROM d) WHERE x <> 0""")
 def v1(spark, sf_dir):
     embedded = E.embed(W.documents(spark, sf_dir), "text", W.DIM)
-    places = embedded.select("product_id", F.posexplode("embedding").alias("place", "x")).where("x <> 0")
+    places = item_rows(embedded, F.col("embedding"), "place", "x").where("x <> 0")
     return places.select(
         "product_id", F.col("place").cast("bigint").alias("place"), F.round(F.col("x").cast("double"), 6).alias("weight")
     )
@@ -149,7 +148,7 @@ def _with_bad_vectors(vectors: DataFrame) -> DataFrame:
         e, F.lit(None).cast("array<float>"), F.slice(e, 1, W.DIM - 1),
         F.transform(e, lambda x, i: F.when(i == 0, float("nan")).otherwise(x).cast("float")),
     ]
-    mixed = W.variants(vectors.withColumnRenamed("embedding", "good").withColumn("embedding", F.col("good")).drop("good"), "v", shapes)
+    mixed = W.variants(vectors, "v", shapes)
     return mixed.select((F.col("chunk_id") * 4 + F.col("variant")).alias("chunk_id"), "product_id", F.col("v").alias("embedding"))
 
 
@@ -167,9 +166,9 @@ def v6(spark, sf_dir):
 @query("v7_ann_topk")
 def v7(spark, sf_dir):
     vectors = W.vectors(spark, sf_dir)
-    centres = ann.train_cells(vectors, W.DIM)
-    path = ann.write_cells(vectors, centres, W.DIM)
-    found = ann.search_cells(path, request_vectors(W.requests(spark, sf_dir, 10), W.DIM), centres, W.DIM)
+    cells = ann.train_cells(vectors, W.DIM)
+    path = ann.write_cells(vectors, cells, W.DIM)
+    found = ann.search_cells(path, request_vectors(W.requests(spark, sf_dir, 10), W.DIM), cells, W.DIM)
     return found.select("query_id", "chunk_id", "rank", shown_distance())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfseek.functions.arrays import item_rows
 from shelfseek.workspace import spread
 
 DIM = 64
@@ -53,7 +54,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variants(df: DataFrame, name: str, values: list[Column]) -> DataFrame:
     """Every row once per value, numbered: the given texts plus shapes that they do not contain."""
-    return df.select("*", F.posexplode(F.array(*values)).alias("variant", name))
+    return item_rows(df, F.array(*values), "variant", name)
 
 
 def hashed(source: str, key: str, text: str, name: str, dim: int = DIM) -> str:
