@@ -58,6 +58,7 @@ def _replace_all(c: Column, *steps: tuple[str, str]) -> Column:
 def clean_description(c: Column) -> Column:
     """Drop shop boilerplate, outer quotes and brackets, and quote joints of a printed list."""
     space = PYTHON_SPACE_CLASS
+    # The phrases that are dropped.
     without_phrases = _replace_all(
         c,
         (r"(?U)\bProduct Description\b", ""),

@@ -27,17 +27,26 @@ MAX_BROADCAST_NUMBERS = 8_000_000
 MAX_KEPT_ROWS = 1_000_000
 SLICE_NUMBERS = 16_000_000
 _QUERIES_PER_BLOCK = 256
+_ROWS_PER_BATCH = 10_000
 _PAIRS_PER_STEP = 100_000
 # Distances are ranked at this resolution, so that the order of summation cannot change a result.
 _DECIMALS = 9
-_MARGIN = 1e-7
+# Bounds on the error of a single-precision distance, relative to the squared lengths, and of rounding.
+_ROUGH_ERROR = 1e-4
+_ROUNDING = 1e-8
+_MANY = 8
 
 _HITS = "query_id bigint, k int, chunk_id bigint, product_id bigint, distance double"
+_HITS_SCHEMA = pa.schema(
+    [
+        ("query_id", pa.int64()), ("k", pa.int32()), ("chunk_id", pa.int64()), ("product_id", pa.int64()),
+        ("distance", pa.float64()),
+    ]
+)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _usable(table, dim: int):
@@ -58,71 +67,62 @@ def _columns(table, *names: str) -> list[np.ndarray]:
     return [np.asarray(table.column(name)) for name in names]
 
 
-class _Queries:
-    """Query vectors as arrays, prepared for one measure."""
+def _rough(vectors: np.ndarray, measure: str) -> tuple[np.ndarray, np.ndarray]:
+    """Single-precision vectors and squares whose distance |q|^2 + |v|^2 - 2qv ranks like the measure.
 
-    def __init__(self, table: pa.Table, dim: int, measure: str):
-        self.ids, self.k = _columns(table, "query_id", "k")
-        self.vectors = _matrix(table.column("embedding").combine_chunks(), dim)
-        self.measure = measure
-        self.units = _units(self.vectors) if measure == COSINE else self.vectors
-        self.squares = (self.units**2).sum(1)
-        self.cells = table.column("cells").to_pylist() if "cells" in table.column_names else None
-
-    def __len__(self) -> int:
-        return len(self.ids)
-
-
-def _units(vectors: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((vectors**2).sum(1, keepdims=True))
-    return vectors / np.where(norms == 0, 1.0, norms)
+    With the cosine measure that distance is twice one minus the similarity; counting every square as 1
+    makes this hold for zero vectors too, whose similarity is 0.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = (vectors.astype(np.float64) ** 2).sum(1)
+        if measure == COSINE:
+            lengths = np.sqrt(np.where(squares == 0, 1.0, squares))
+            return (vectors / lengths[:, None]).astype(np.float32), np.ones(len(vectors), np.float32)
+        return vectors.astype(np.float32), squares.astype(np.float32)
 
 
-class _Best:
-    """The best rows per query seen so far in one task, as flat arrays."""
+class _Block:
+    """Some of the queries and, as flat arrays, the best rows seen for them in one task."""
 
-    def __init__(self, queries: _Queries):
-        self.queries = queries
-        self.query = np.empty(0, np.int64)
+    def __init__(self, table: pa.Table, dim: int, measure: str):
+        self.ids, self.k = _columns(table, "query_id", "k")
+        self.vectors = _matrix(table.column("embedding").combine_chunks(), dim).astype(np.float64)
+        self.cells = table.column("cells").to_pylist() if "cells" in table.column_names else None
+        self.measure = measure
+        self.rough, self.squares = _rough(self.vectors, measure)
+        self.rough_error = max(_ROUGH_ERROR, 2e-7 * dim)
+        self.query, self.chunk, self.product = (np.empty(0, np.int64) for _ in range(3))
         self.distance = np.empty(0)
-        self.chunk = np.empty(0, np.int64)
-        self.product = np.empty(0, np.int64)
-        self.worst = np.full(len(queries), np.inf)
-
-    def add(self, vectors: np.ndarray, chunk: np.ndarray, product: np.ndarray, cell=None) -> None:
-        for start in range(0, len(self.queries), _QUERIES_PER_BLOCK):
-            rows = slice(start, min(start + _QUERIES_PER_BLOCK, len(self.queries)))
-            q, v = self._candidates(rows, vectors, cell)
-            if len(q):
-                self._merge(q, self._exact(q, v, vectors), chunk[v], product[v])
-
-    def _candidates(self, rows: slice, vectors: np.ndarray, cell) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that may enter the best k, by a matrix product with a safety margin."""
-        known = self.queries
-        scored = _units(vectors) if known.measure == COSINE else vectors
-        rough = known.squares[rows, None] + (scored**2).sum(1) - 2.0 * known.units[rows] @ scored.T
+        self.worst = np.full(len(self.ids), np.inf)
+
+    def add(self, vectors, rough, squares, chunk, product, cell) -> None:
+        q, v = self._candidates(rough, squares, cell)
+        if len(q):
+            self._merge(q, self._exact(q, v, vectors), chunk[v], product[v])
+
+    def _candidates(self, rough, squares, cell) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may enter the best k: all whose lower bound is within the k-th best upper bound."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            lower = (self.squares[:, None] + squares) * np.float32(1 - self.rough_error)
+            lower -= 2.0 * (self.rough @ rough.T)
+            error = 2 * self.rough_error * (self.squares + squares.max())
+        lower[~np.isfinite(lower)] = -np.inf
         if cell is not None:
-            wanted = np.array([np.isin(cell, probed) for probed in known.cells[rows]])
-            rough[~wanted] = np.inf
-        limit = self.worst[rows].copy()
-        k = int(known.k[rows].max())
-        if k < rough.shape[1]:
-            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
-        if known.measure == COSINE:
-            # 1 - cos is half the squared distance of unit vectors, except that a zero vector has cos 0:
-            # its rough value is 1 (or 0 for two zero vectors) where 2 is meant.
-            zero = (known.squares[rows, None] == 0) | ((scored**2).sum(1) == 0)
-            rough[zero & np.isfinite(rough)] = 0.0
-        q, v = np.nonzero((rough <= limit[:, None] + _MARGIN) & np.isfinite(rough))
-        return q + rows.start, v
+            probed = np.array([np.isin(cell, cells) for cells in self.cells])
+            lower[~probed] = np.inf
+        possible = lower <= (self.worst + _ROUNDING)[:, None]
+        k = int(self.k.max())
+        if k < lower.shape[1] and possible.sum() > _MANY * self.k.sum():
+            limit = np.minimum(self.worst, np.partition(lower, k - 1, axis=1)[:, k - 1] + error)
+            possible = lower <= (limit + _ROUNDING)[:, None]
+        return np.nonzero(possible & (lower < np.inf))
 
     def _exact(self, q: np.ndarray, v: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-        known = self.queries
         steps = []
         for start in range(0, len(q), _PAIRS_PER_STEP):
-            a = known.vectors[q[start : start + _PAIRS_PER_STEP]]
-            b = vectors[v[start : start + _PAIRS_PER_STEP]]
-            if known.measure == COSINE:
+            a = self.vectors[q[start : start + _PAIRS_PER_STEP]]
+            b = vectors[v[start : start + _PAIRS_PER_STEP]].astype(np.float64)
+            if self.measure == COSINE:
                 norms = np.sqrt((a**2).sum(1) * (b**2).sum(1))
                 steps.append(1.0 - (a * b).sum(1) / np.where(norms == 0, np.inf, norms))
             else:
@@ -136,47 +136,46 @@ class _Best:
         product = np.concatenate([self.product, product])
         order = np.lexsort((chunk, distance, query))
         query, distance, chunk, product = (a[order] for a in (query, distance, chunk, product))
-        starts = np.searchsorted(query, np.arange(len(self.queries)))
-        place = np.arange(len(query)) - starts[query]
-        kept = place < self.queries.k[query]
-        last = place == self.queries.k[query] - 1
-        rough_scale = 2.0 if self.queries.measure == COSINE else 1.0
-        self.worst[query[last]] = distance[last] * rough_scale
+        place = np.arange(len(query)) - np.searchsorted(query, np.arange(len(self.ids)))[query]
+        kept, last = place < self.k[query], place == self.k[query] - 1
+        self.worst[query[last]] = distance[last] * (2.0 if self.measure == COSINE else 1.0)
         self.query, self.distance = query[kept], distance[kept]
         self.chunk, self.product = chunk[kept], product[kept]
 
-    def result(self) -> dict[str, np.ndarray]:
-        return {
-            "query_id": self.queries.ids[self.query].astype(np.int64),
-            "k": self.queries.k[self.query].astype(np.int32),
-            "chunk_id": self.chunk,
-            "product_id": self.product,
-            "distance": self.distance,
-        }
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {
+                "query_id": self.ids[self.query].astype(np.int64),
+                "k": self.k[self.query].astype(np.int32),
+                "chunk_id": self.chunk,
+                "product_id": self.product,
+                "distance": self.distance,
+            }
+        )
 
 
-def _scan(batches, queries: _Queries, dim: int) -> _Best:
-    best = _Best(queries)
+def _scan(batches, queries: pa.Table, dim: int, measure: str) -> Iterator[pa.RecordBatch]:
+    """The best rows of all ``batches`` for every query, one block of queries at a time."""
+    cuts = range(0, queries.num_rows, _QUERIES_PER_BLOCK)
+    blocks = [_Block(queries.slice(cut, _QUERIES_PER_BLOCK), dim, measure) for cut in cuts]
     for batch in batches:
         batch = _usable(batch, dim)
         if batch.num_rows == 0:
             continue
-        names = batch.schema.names
         chunk, product = _columns(batch, "chunk_id", "product_id")
-        cell = _columns(batch, "cell")[0] if "cell" in names else None
-        embedding = batch.column("embedding")
-        if isinstance(embedding, pa.ChunkedArray):
-            embedding = embedding.combine_chunks()
-        best.add(_matrix(embedding, dim), chunk, product, cell)
-    return best
+        cell = _columns(batch, "cell")[0] if "cell" in batch.schema.names else None
+        vectors = _matrix(batch.column("embedding"), dim)
+        rough, squares = _rough(vectors, measure)
+        for block in blocks:
+            block.add(vectors, rough, squares, chunk, product, cell)
+    return (block.result() for block in blocks)
 
 
 def _broadcast_search(vectors: DataFrame, table: pa.Table, dim: int, measure: str) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(table)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _scan(batches, _Queries(shared.value, dim, measure), dim)
-        yield pa.RecordBatch.from_pydict(best.result())
+        yield from _scan(batches, shared.value, dim, measure)
 
     return vectors.mapInArrow(search, _HITS)
 
@@ -195,9 +194,8 @@ def _sliced_search(vectors: DataFrame, queries: DataFrame, dim: int, measure: st
     right = right.withColumn("vs", numbers(vector_slices))
 
     def search(vector_slice: pa.Table, query_slice: pa.Table) -> pa.Table:
-        known = _Queries(_usable(query_slice, dim), dim, measure)
-        best = _scan(vector_slice.to_batches(max_chunksize=10_000), known, dim)
-        return pa.Table.from_pydict(best.result())
+        batches = vector_slice.to_batches(max_chunksize=_ROWS_PER_BATCH)
+        return pa.Table.from_batches(_scan(batches, _usable(query_slice, dim), dim, measure), _HITS_SCHEMA)
 
     return left.groupBy("qs", "vs").cogroup(right.groupBy("qs", "vs")).applyInArrow(search, _HITS)
 
@@ -246,4 +244,6 @@ def nearest(
     else:
         hits = _sliced_search(stored, asked, dim, measure, k_max)
     ranked = top_k_per_group(hits, ["query_id"], ["distance", "chunk_id"], k_max)
-    return ranked.where(F.col("rank") <= F.col("k")).drop("k")
+    found = ranked.where(F.col("rank") <= F.col("k")).drop("k")
+    # At most MAX_KEPT_ROWS narrow rows: whatever large table they are joined with need not move.
+    return F.broadcast(found) if small else found

@@ -17,9 +17,10 @@ def _labelled(counted: DataFrame, table: str, rule: str) -> DataFrame:
     )
 
 
-def duplicate_keys(df: DataFrame, table: str, rule: str, key: list[str]) -> DataFrame:
-    """How many key values occur more than once."""
-    repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def duplicate_keys(df: DataFrame, table: str, rule: str, key: list[str], long_text: bool = False) -> DataFrame:
+    """How many key values occur more than once. Long texts are compared and shuffled as SHA-256 digests."""
+    parts = [F.unhex(F.sha2(F.col(name), 256)).alias(name) if long_text else F.col(name) for name in key]
+    repeated = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return _labelled(repeated.agg(F.count(F.lit(1)).alias("violations")), table, rule)
 
 

@@ -342,7 +342,7 @@ def h7(spark, sf_dir):
             Q.duplicate_keys(part, "product", "primary key", ["p_partkey"]),
             Q.duplicate_keys(lines, "query_log_product", "primary key", ["l_orderkey", "l_partkey"]),
             Q.duplicate_keys(customers, "users", "unique name", ["c_name"]),
-            Q.duplicate_keys(docs, "document", "unique text", ["text"]),
+            Q.duplicate_keys(docs, "document", "unique text", ["text"], long_text=True),
             Q.foreign_key(lines, "l_partkey", part, "p_partkey", "query_log_product", "product exists"),
             Q.foreign_key(lines, "l_orderkey", orders, "o_orderkey", "query_log_product", "query exists"),
             Q.foreign_key(
