@@ -34,6 +34,8 @@ _DECIMALS = 9
 # Bounds on the error of a single-precision distance, relative to the squared lengths, and of rounding.
 _ROUGH_ERROR = 1e-4
 _ROUNDING = 1e-8
+# Squared lengths beyond this may overflow in single precision.
+_LARGE = 1e37
 _MANY = 8
 
 _HITS = "query_id bigint, k int, chunk_id bigint, product_id bigint, distance double"
@@ -106,7 +108,8 @@ class _Block:
             lower = (self.squares[:, None] + squares) * np.float32(1 - self.rough_error)
             lower -= 2.0 * (self.rough @ rough.T)
             error = 2 * self.rough_error * (self.squares + squares.max())
-        lower[~np.isfinite(lower)] = -np.inf
+        if max(self.squares.max(), squares.max()) > _LARGE:
+            lower[~np.isfinite(lower)] = -np.inf
         if cell is not None:
             probed = np.array([np.isin(cell, cells) for cells in self.cells])
             lower[~probed] = np.inf
@@ -115,7 +118,9 @@ class _Block:
         if k < lower.shape[1] and possible.sum() > _MANY * self.k.sum():
             limit = np.minimum(self.worst, np.partition(lower, k - 1, axis=1)[:, k - 1] + error)
             possible = lower <= (limit + _ROUNDING)[:, None]
-        return np.nonzero(possible & (lower < np.inf))
+        if cell is not None:
+            possible &= probed
+        return np.divmod(np.flatnonzero(possible), lower.shape[1])
 
     def _exact(self, q: np.ndarray, v: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         steps = []

@@ -85,6 +85,16 @@ def test_small_batches_and_blocks(spark, world, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i, [float(np.float32(x)) for x in rng.normal(size=DIM) * (1e18 if i % 2 else 3e19)]) for i in range(60)]
+    vectors = _table(spark, rows, VECTORS)
+    queries = _table(spark, [(i, 5, rows[i][2]) for i in range(10)], QUERIES)
+    for measure in (L2_SQUARED, COSINE):
+        got = {(q, r, c) for q, r, c, _, _ in as_set(nearest(vectors, queries, DIM, measure))}
+        assert got == {(q, r, c) for q, r, c, _, _ in as_set(brute_force(vectors, queries, measure))}
+
+
 def test_many_kept_rows_take_the_sliced_way(spark, world, monkeypatch):
     vectors, queries = world
     expected = as_set(nearest(vectors, queries, DIM))
