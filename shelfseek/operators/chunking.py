@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfseek.functions.arrays import item_rows
-from shelfseek.functions.text import sentences
+from shelfseek.functions.text import has_text, sentences, strip
 from shelfseek.operators.keys import chunk_key
 
 CHUNK_SIZE = 512
@@ -77,14 +77,19 @@ def _chunk_rows(df: DataFrame, pieces: Column) -> DataFrame:
 
 
 def character_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(product_id, text, …) → one row per chunk; a blank text gives none. No shuffle."""
+    """(product_id, text, …) → one row per chunk; a blank text gives none. No shuffle.
+
+    A text that fits into one chunk is that chunk, stripped, and never leaves the JVM.
+    """
 
     @F.pandas_udf("array<string>")
     def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             yield series.map(lambda text: split_text(text, size, overlap))
 
-    return _chunk_rows(docs, split(F.col("text")))
+    long = F.length("text") > size
+    whole = F.when(has_text(F.col("text")), F.array(strip(F.col("text"))))
+    return _chunk_rows(docs, F.when(long, split(F.when(long, F.col("text")))).otherwise(whole))
 
 
 def paragraphs(text: Column, target_words: int = PARAGRAPH_WORDS) -> Column:

@@ -61,4 +61,4 @@ def apply_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def load_time(at: dt.datetime | None = None) -> Column:
     """The insert time, without zone; fixed where the caller gives one."""
-    return (F.lit(at) if at is not None else F.localtimestamp()).cast("timestamp_ntz")
+    return F.localtimestamp() if at is None else F.lit(at.isoformat(" ")).cast("timestamp_ntz")

@@ -279,31 +279,26 @@ def a11(spark, sf_dir):
 
 @query("h5_insert_product_embedding", """WITH pairs AS (
   SELECT label::BIGINT AS product_id, min(vec_id) AS vec_id FROM embeddings GROUP BY label),
-joined AS (SELECT product_id, vec_id, p_name, p_type, p_retailprice, embedding FROM pairs JOIN embeddings USING (vec_id) JOIN part ON p_partkey = product_id),
-fresh AS (SELECT * FROM joined WHERE p_type <> 'ECONOMY')
-SELECT row_number() OVER (ORDER BY product_id) AS embedding_id, product_id, p_name AS title, p_name AS description,
-  p_retailprice AS price, '{}' AS details, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM fresh""")
+joined AS (SELECT product_id, p_name, p_type, p_retailprice, embedding FROM pairs JOIN embeddings USING (vec_id) JOIN part ON p_partkey = product_id)
+SELECT row_number() OVER (ORDER BY product_id) AS embedding_id, product_id, p_name AS description,
+  round(list_sum(embedding::DOUBLE[]), 6) AS total, CASE WHEN p_type <> 'ECONOMY' THEN p_name END AS title,
+  CASE WHEN p_type <> 'ECONOMY' THEN p_retailprice END AS price, CASE WHEN p_type <> 'ECONOMY' THEN '{}' END AS details
+FROM joined""")
 def h5(spark, sf_dir):
-    """One vector per labelled product; products of one category are there already and stay as they are."""
-    vectors = W.vectors(spark, sf_dir)
+    """The first vector of every labelled product; products of one category are there already and stay."""
     products = W.products(spark, sf_dir)
-    incoming = vectors.join(products, "product_id").withColumns(
+    incoming = W.vectors(spark, sf_dir).join(products, "product_id").withColumns(
         {
             "description": F.col("title"), "main_category_id": F.lit(1), "images": F.lit(None).cast("map<string,string>"),
             "features": F.lit(None).cast("array<string>"), "details": F.lit(None).cast("map<string,string>"),
         }
     )
-    held = products.where("category = 'ECONOMY'")
     rows, embedded = seeding.insert_with_embeddings(
-        incoming, held, spark.createDataFrame([], PRODUCT_EMBEDDINGS), ["chunk_id"], AT
+        incoming, products.where("category = 'ECONOMY'"), spark.createDataFrame([], PRODUCT_EMBEDDINGS), ["chunk_id"], AT
     )
     total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
-    both = rows.select("product_id", "title", "price", "details").join(embedded, "product_id")
-    renumbered = continue_ids(
-        both.drop("embedding_id"), spark.createDataFrame([], PRODUCT_EMBEDDINGS), ["product_id"], "embedding_id"
-    )
-    return renumbered.select(
-        "embedding_id", "product_id", "title", "description", "price", "details", F.round(total, 6).alias("total")
+    return embedded.join(rows.select("product_id", "title", "price", "details"), "product_id", "left").select(
+        "embedding_id", "product_id", "description", F.round(total, 6).alias("total"), "title", "price", "details"
     )
 
 

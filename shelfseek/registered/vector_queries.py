@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfseek.functions import vectors as V
 from shelfseek.functions.arrays import item_rows
-from shelfseek.functions.text import sentences, word_tokens
+from shelfseek.functions.text import sentences, squash, word_tokens
 from shelfseek.operators import catalog as C
 from shelfseek.operators import chunking as K
 from shelfseek.operators import embedding as E
@@ -38,6 +38,21 @@ def t1(spark, sf_dir):
     return K.character_chunks(W.documents(spark, sf_dir)).select("product_id", "chunk_idx", "chunk_text")
 
 
+@query("t1_recursive_chunks_whole_text", f"""SELECT doc_id AS product_id, 0::BIGINT AS n_too_long,
+  regexp_replace(text, '{W.sql_space()}+', '', 'g') AS letters FROM documents
+WHERE regexp_replace(text, '{W.sql_space()}+', '', 'g') <> ''""")
+def t1_whole(spark, sf_dir):
+    """Without overlap the chunks of a text hold each of its letters once, in order, none longer than 512."""
+    chunks = K.character_chunks(W.documents(spark, sf_dir), overlap=0)
+    letters = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_text"))), lambda c: c["chunk_text"]), ""
+    )
+    grouped = chunks.groupBy("product_id").agg(
+        F.count_if(F.length("chunk_text") > K.CHUNK_SIZE).alias("n_too_long"), letters.alias("joined")
+    )
+    return grouped.select("product_id", "n_too_long", F.replace(squash(F.col("joined")), F.lit(" "), F.lit("")).alias("letters"))
+
+
 @query("t2_paragraph_chunks", f"""WITH RECURSIVE {W.paragraphs_sql()}
 SELECT product_id, chunk_idx::BIGINT AS chunk_idx, chunk_text FROM chunks""")
 def t2(spark, sf_dir):
@@ -172,6 +187,18 @@ def v7(spark, sf_dir):
     return found.select("query_id", "chunk_id", "rank", shown_distance())
 
 
+@query("v7_ann_topk_all_cells", f"""WITH {W.hits(10, distance=_COSINE)}
+SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM hits""")
+def v7_all(spark, sf_dir):
+    """Looking into every cell is exact."""
+    vectors = W.vectors(spark, sf_dir)
+    cells = ann.train_cells(vectors, W.DIM)
+    path = ann.write_cells(vectors, cells, W.DIM)
+    asked = request_vectors(W.requests(spark, sf_dir, 10), W.DIM)
+    found = ann.search_cells(path, asked, cells, W.DIM, probes=ann.DEFAULT_CELLS)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), shown_distance())
+
+
 @query("v9_vector_contract", f"""SELECT reason, count(*) AS n_vectors FROM (
   SELECT unnest(['ok', 'null vector', 'wrong dimension', 'not finite']) AS reason FROM embeddings)
 GROUP BY reason""")
@@ -268,6 +295,24 @@ def v10(spark, sf_dir):
     )
 
 
+@query("v10_build_vector_table_paragraphs", f"""WITH RECURSIVE {W.paragraphs_sql()},
+keyed AS (SELECT product_id * 16777216 + chunk_idx AS chunk_id, product_id, chunk_text FROM chunks),
+{W.hashed('keyed', 'chunk_id', 'chunk_text', 'd')}
+SELECT chunk_id, product_id, length(chunk_text) AS n_chars, len(list_filter(e, lambda x: x <> 0))::BIGINT AS n_places,
+       round(list_sum(e::DOUBLE[]), 5) AS total, round(list_sum(list_transform(range({W.DIM}), lambda i: i * e[i + 1]::DOUBLE)), 4) AS moment
+FROM d JOIN keyed USING (chunk_id)""")
+def v10_paragraphs(spark, sf_dir):
+    built = chunk_vectors(W.documents(spark, sf_dir), W.DIM, K.paragraph_chunks)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    weights = F.transform("embedding", lambda x: x.cast("double"))
+    return built.select(
+        "chunk_id", "product_id", F.length("chunk_text").cast("bigint").alias("n_chars"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("n_places"),
+        F.round(add(weights), 5).alias("total"),
+        F.round(add(F.transform(weights, lambda x, i: x * i)), 4).alias("moment"),
+    )
+
+
 @query("b9_existing_products_only", f"WITH {search_sql(100, chr(10) + 'WHERE p.category <> ' + chr(39) + 'ECONOMY' + chr(39))} "
        f"SELECT {_CARD}, round(distance, 6) AS distance FROM found")
 def b9(spark, sf_dir):

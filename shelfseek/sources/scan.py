@@ -118,5 +118,10 @@ def jdbc_options(
     }
 
 
+def jdbc_sink(rows: DataFrame, options: dict[str, str]) -> None:
+    """Append rows to a database table, one connection per partition."""
+    rows.write.format("jdbc").options(**options).mode("append").save()
+
+
 def jdbc_scan(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
