@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfseek.functions.numbers import sanitize
 from shelfseek.functions.text import clean_description, has_text, snippet
+from shelfseek.operators.upsert import apply_defaults
 
 MAX_DISTANCE = 2.0
+# What a request that leaves them out gets.
+REQUEST_DEFAULTS = {"k": 5, "user_id": 1}
 
 
 def complete_rows(raw: DataFrame) -> DataFrame:
@@ -52,11 +55,12 @@ def in_categories(rows: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted requests, and rejected ones with the reason."""
+    """Accepted requests, and rejected ones with the reason. Absent settings get their defaults first."""
+    given = {name: value for name, value in REQUEST_DEFAULTS.items() if name in requests.columns}
     reason = F.when(~F.coalesce(has_text(F.col("query")), F.lit(False)), "blank query").when(
-        F.coalesce(F.col("k") < 1, F.lit(True)), "k below 1"
+        F.col("k") < 1, "k below 1"
     )
-    judged = requests.withColumn("reason", reason)
+    judged = apply_defaults(requests, given).withColumn("reason", reason)
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 

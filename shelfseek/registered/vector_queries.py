@@ -287,6 +287,30 @@ def v8_text(spark, sf_dir):
     return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "product_id", "title", shown_distance())
 
 
+@query("v8_chunk_search", f"""WITH RECURSIVE {W.paragraphs_sql()},
+keyed AS (SELECT product_id * 16777216 + chunk_idx AS chunk_id, product_id, chunk_text FROM chunks),
+{W.hashed('benchmark', 'item_id', 'text', 'q')},
+{W.hashed('keyed', 'chunk_id', 'chunk_text', 'd')},
+pairs AS (
+  SELECT q.item_id AS query_id, chunk_id, product_id,
+         round(pow(list_distance(q.e::DOUBLE[], d.e::DOUBLE[]), 2), 9) AS distance FROM q, d JOIN keyed USING (chunk_id)),
+hits AS (
+  SELECT * FROM (SELECT *, {W.RANK} AS rank FROM pairs) WHERE rank <= 20),
+{W.BEST}
+SELECT query_id, {W.RANK} AS rank, product_id, chunk_id, source AS title, round(distance, 6) AS distance
+FROM best JOIN documents ON doc_id = product_id""")
+def v8_chunks(spark, sf_dir):
+    """From texts to results in one plan: documents are chunked, embedded and searched."""
+    vectors = chunk_vectors(W.documents(spark, sf_dir), W.DIM, K.paragraph_chunks)
+    titles = W.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("product_id"), F.col("source").alias("title")
+    )
+    found = search(W.requests(spark, sf_dir, 20), vectors, titles, W.DIM)
+    return found.select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "product_id", "chunk_id", "title", shown_distance()
+    )
+
+
 @query("v10_build_vector_table")
 def v10(spark, sf_dir):
     built = chunk_vectors(W.documents(spark, sf_dir), W.DIM)
