@@ -71,8 +71,8 @@ def clean_description(c: Column) -> Column:
 
 
 def squash(c: Column) -> Column:
-    """Every run of white space becomes one space."""
-    return F.regexp_replace(c, f"{PYTHON_SPACE_CLASS}+", " ")
+    """Every run of white space becomes one space; lone spaces are left as they are."""
+    return F.regexp_replace(c, f"{PYTHON_SPACE_CLASS}{{2,}}|[{PYTHON_SPACE_CLASS}&&[^ ]]", " ")
 
 
 def spaced_tokens(c: Column) -> Column:
@@ -85,15 +85,10 @@ def spaced_tokens(c: Column) -> Column:
         squash(c),
         (r"([:,])([^0-9])", " $1 $2"),
         (r"([:,])\z", " $1 "),
-        (r"(\.{2,})", " $1 "),
-        (r"([;@#$%&?!()<>])", " $1 "),
-        (r"(--)", " $1 "),
+        (r"(\.{2,}|--|[;@#$%&?!()<>])", " $1 "),
         (r"([^. ])\.( |\z)", "$1 . "),
-        (r"(?i)\b(can)(not)\b", "$1 $2"),
-        (r"(?i)\b(gim|lem)(me)\b", "$1 $2"),
-        (r"(?i)\b(gon|wan)(na)\b", "$1 $2"),
-        (r"(?i)\b(got)(ta)\b", "$1 $2"),
-        (r" +", " "),
+        (r"(?i)\b(can(?=not\b)|(?:gim|lem)(?=me\b)|(?:gon|wan)(?=na\b)|got(?=ta\b))", "$1 "),
+        (r" {2,}", " "),
     )
     return F.trim(padded)
 
