@@ -30,14 +30,6 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/shelfseek/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back: the lineage is cut and later reads all see the same rows."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the rows of a scan over all cores when the input has fewer splits than cores.
 
