@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfseek.llm import linededup, simhash
-from shelfseek.llm.common import table
+from shelfseek.llm import linededup, mixing, packing, quality, simhash, toxicity
+from shelfseek.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,89 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM marked GROUP BY r"""
 
 
+#: What the registered mixture asks for: four domains dealt by the source's number, weights by level.
+DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
+LANGUAGE_WEIGHTS = {"en": 5, "fr": 2, "de": 2, "es": 1}
+
+
+def mixture_domain() -> Column:
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("bigint"), F.lit(0))
+    return F.concat(F.lit("domain"), F.pmod(number, F.lit(4)).cast("string"))
+
+
+def mixture_weights() -> dict[str, Column]:
+    def by(name: str, weights: dict[str, int]) -> Column:
+        column = F.lit(1)
+        for key, weight in weights.items():
+            column = F.when(F.col(name) == key, weight).otherwise(column)
+        return column
+
+    return {"domain": by("domain", DOMAIN_WEIGHTS), "lang": by("lang", LANGUAGE_WEIGHTS), "source": F.lit(1)}
+
+
+def _sql_level(name: str, parent: str, child: str, weight: str) -> str:
+    """SQL that deals the budgets of table ``parent`` to the nodes ``child``, as table ``name``."""
+    keys = {"domain": ["domain"], "lang": ["domain", "lang"], "source": ["domain", "lang", "source"]}[child]
+    over = f"PARTITION BY {', '.join(keys[:-1])}" if keys[:-1] else ""
+    link = f"JOIN {parent} USING ({', '.join(keys[:-1])})" if keys[:-1] else f"CROSS JOIN {parent}"
+    before = f"OVER ({over} ORDER BY cap / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""{name}_in AS (SELECT {', '.join(keys)}, sum(3 * supply)::DOUBLE AS cap, any_value({weight})::DOUBLE AS w
+  FROM leaves GROUP BY {', '.join(keys)}),
+{name}_level AS (SELECT *, (budget - coalesce(sum(cap) {before}, 0)) / (sum(w) OVER ({over}) - coalesce(sum(w) {before}, 0)) AS level
+  FROM {name}_in {link}),
+{name} AS (SELECT {', '.join(keys)},
+  least(cap, coalesce(max(level) FILTER (WHERE cap / w > level) OVER ({over}), 'infinity'::DOUBLE) * w) AS budget
+  FROM {name}_level)"""
+
+
+def _sql_weights(name: str, weights: dict[str, int]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + " ELSE 1 END"
+
+
+OP1_SQL = f"""WITH measured AS (
+  SELECT doc_id, 'domain' || (regexp_extract(source, '([0-9]+)$', 1)::BIGINT % 4) AS domain, lang, source,
+         ceil(strlen(text) / 4)::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM measured GROUP BY ALL),
+root AS (SELECT floor(sum(supply) * 0.8::DOUBLE)::DOUBLE AS budget FROM leaves),
+{_sql_level('domains', 'root', 'domain', _sql_weights('domain', DOMAIN_WEIGHTS))},
+{_sql_level('langs', 'domains', 'lang', _sql_weights('lang', LANGUAGE_WEIGHTS))},
+{_sql_level('sources', 'langs', 'source', '1')},
+plan AS (SELECT domain, lang, source, supply, round(budget)::BIGINT AS budget,
+  least(floor(round(budget) / supply), 3)::INT AS whole FROM leaves JOIN sources USING (domain, lang, source)),
+placed AS (SELECT *, budget - whole * supply AS part,
+  ('0x' || substr(md5('11:' || whole || ':' || doc_id), 1, 15))::BIGINT AS place FROM measured JOIN plan USING (domain, lang, source)),
+summed AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed),
+copies AS (SELECT *, unnest(range(whole + (before < part)::INT)) AS epoch FROM summed)
+SELECT doc_id, epoch::INT AS epoch, domain, lang, source, n_tokens, budget FROM copies"""
+
+
+@query("op1_mixing", OP1_SQL)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixture_weights(), mixture_domain(), share_of_supply=0.8, max_epochs=3, seed=11)
+
+
+TOXIC_FROM = 0.3
+GOOD_FROM = 0.3
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the rows that are not held out."""
+    learned = labels.where(crc_remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.fit(docs, learned.select("doc_id", F.col("toxic").alias("label")))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_restored",
+    )
+
+
 @query("op5_line_dedup", OP5_SQL)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -43,3 +126,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), width=4, max_bits=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = crc_remainder(F.col("doc_id"), 5)
+    labelled = labels.select("doc_id", F.col("quality").alias("label"))
+    scored = quality.quality_scores(docs, labelled, learn_from=remainder != 0)
+    return scored.select(
+        "doc_id", (remainder == 0).alias("held_out"), "score",
+        (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"),
+    )
+
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary of the contract, from the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
