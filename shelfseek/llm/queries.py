@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfseek.llm import linededup, mixing, packing, quality, simhash, toxicity
+from shelfseek.llm import linededup, mixing, packing, quality, simhash, topk, toxicity, vectordedup
 from shelfseek.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
@@ -150,3 +150,22 @@ def tokenizer_path() -> str:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op3_vector_dedup")
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP10_SQL = """WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e::DOUBLE[], v.e::DOUBLE[])::BIGINT AS score
+  FROM whole q JOIN whole v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10"""
+
+
+@query("op10_topk", OP10_SQL)
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
