@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfseek.llm import linededup, mixing, packing, quality, simhash, topk, toxicity, vectordedup
+from shelfseek.llm import licences, linededup, mixing, packing, quality, simhash, topk, toxicity, vectordedup, warc
 from shelfseek.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
@@ -169,3 +169,14 @@ FROM scored QUALIFY rank <= 10"""
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op4_warc_derivatives")
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    return records.withColumnRenamed("key", "page_id").drop("header")
+
+
+@query("op6_licences", licences.recognise_sql())
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.recognise(table(spark, sf_dir, "documents"))
