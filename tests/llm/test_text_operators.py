@@ -187,7 +187,7 @@ def test_runs_are_compacted_and_removed(spark, documents):
 def test_runs_are_not_shuffled(spark):
     runs = linededup.Runs(spark)
     runs.add(spark.createDataFrame([(b"a", 1)], "h binary, holder bigint").groupBy("h").agg(F.min("holder").alias("holder")))
-    first = spark.range(10).selectExpr("cast(id as binary) h", "id").groupBy("h").agg(F.min("id").alias("holder"))
+    first = spark.range(10).selectExpr("cast(cast(id as string) as binary) h", "id").groupBy("h").agg(F.min("id").alias("holder"))
     plan = runs.unseen(first)._jdf.queryExecution().executedPlan().toString()
     runs.close()
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
@@ -246,7 +246,7 @@ def test_toxicity_of_odd_rows(spark, documents, odd_rows):
     assert {r.restored for r in scored if r.doc_id == 2} == {""}
     assert toxicity.score(documents([]), model).count() == 0
     nothing = toxicity.fit(documents([]), labels.limit(0))
-    assert {r.score for r in toxicity.score(docs, nothing).collect()} == {pytest.approx(0.0, abs=1e-9)}
+    assert max(r.score for r in toxicity.score(docs, nothing).collect()) < 1e-9
 
 
 def accuracy(rows, labels, at):
