@@ -18,7 +18,7 @@ RETRYABLE = (429, 503)
 
 _ANSWER = "prompt_id bigint, response string, status string, attempts int, error string"
 
-Model = Callable[[list[dict]], list[str]]
+Model = Callable[[list[dict]], list]
 
 
 class ModelError(Exception):
@@ -39,19 +39,49 @@ def effective_settings(prompts: DataFrame, defaults: dict[str, float] | None = N
     return prompts.withColumns({name: setting(name, default) for name, default in given.items()})
 
 
-def _ask(model: Model, rows: list[dict], pause: Callable[[float], None]) -> tuple[list, str, int, str | None]:
-    for attempt in range(MAX_TRIES):
+def _try(model: Model, rows: list[dict], pause: Callable[[float], None]) -> tuple[list, int, Exception | None]:
+    """(answers, attempts, what went wrong). An answer may itself be an exception, for its prompt alone."""
+    for attempt in range(1, MAX_TRIES + 1):
         try:
-            return model(rows), "ok", attempt + 1, None
-        except ModelError as error:
-            last = attempt == MAX_TRIES - 1
-            if error.status not in RETRYABLE or last:
-                reason = f"Error: failed (status {error.status})" if error.status else "Error: no connection"
-                return [reason] * len(rows), "error", attempt + 1, str(error)
-            pause(2**attempt)
+            answers = list(model(rows))
+            if len(answers) != len(rows):
+                raise ValueError(f"{len(answers)} answers to {len(rows)} prompts")
+            return answers, attempt, None
+        except Exception as error:  # noqa: BLE001  any failure of a model is a row with its reason
+            if getattr(error, "status", None) not in RETRYABLE or attempt == MAX_TRIES:
+                return [], attempt, error
+            pause(2 ** (attempt - 1))
     raise AssertionError("unreachable")
 
 
+def _reason(error: Exception) -> str:
+    if isinstance(error, ModelError):
+        return f"Error: failed (status {error.status})" if error.status else "Error: no connection"
+    return f"Error: {type(error).__name__}"
+
+
+def _ask(model: Model, rows: list[dict], pause: Callable[[float], None]) -> list[tuple[str, str, int, str | None]]:
+    """(response, status, attempts, error) of every prompt.
+
+    A group that fails is asked again prompt by prompt, as is a prompt that fails within a group, so that one
+    bad prompt does not spoil its neighbours; attempts count from there.
+    """
+    answers, attempts, error = _try(model, rows, pause)
+    if error is not None and len(rows) > 1:
+        return [result for row in rows for result in _ask(model, [row], pause)]
+    if error is not None:
+        return [(_reason(error), "error", attempts, str(error))]
+    results = []
+    for row, answer in zip(rows, answers, strict=True):
+        if not isinstance(answer, Exception):
+            results.append((answer, "ok", attempts, None))
+        elif len(rows) > 1:
+            results += _ask(model, [row], pause)
+        else:
+            results.append((_reason(answer), "error", attempts, str(answer)))
+    return results
+
+
 def run_prompts(
     prompts: DataFrame,
     make_model: Callable[[], Model],
@@ -62,8 +92,9 @@ def run_prompts(
     """(prompt_id, response, status, attempts, error) for every prompt.
 
     ``make_model`` runs once per task. A call gets up to ``group_size`` prompts; a failed call is
-    repeated for the retryable codes, and otherwise its error text becomes the response. At most
-    ``concurrency`` tasks call the model at once.
+    repeated for the retryable codes, then tried prompt by prompt. What still fails, with any exception, is a
+    row whose response says so. At most ``concurrency`` tasks call the model at once. Write the answers to a
+    table before using them twice: each use of the plan calls the model.
     """
     spread = prompts.repartition(concurrency, "prompt_id") if concurrency else prompts
     columns = prompts.columns
@@ -74,10 +105,10 @@ def run_prompts(
             for start in range(0, len(frame), group_size):
                 part = frame.iloc[start : start + group_size]
                 rows = [dict(zip(columns, values)) for values in part.itertuples(index=False, name=None)]
-                responses, status, attempts, error = _ask(model, rows, pause)
+                response, status, attempts, error = zip(*_ask(model, rows, pause), strict=True)
                 yield pd.DataFrame(
                     {
-                        "prompt_id": part["prompt_id"], "response": responses, "status": status,
+                        "prompt_id": part["prompt_id"].to_numpy(), "response": response, "status": status,
                         "attempts": attempts, "error": error,
                     }
                 )

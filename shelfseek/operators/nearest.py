@@ -4,8 +4,8 @@
 scores its vectors block by block and keeps only the best k per query, so what is shuffled is the k best
 of every task and never the product of the two tables.
 
-A small query table is broadcast after its size has been checked. A larger one is sliced: both tables
-are cut into slices of bounded size and every pair of slices is scored in a task of its own.
+Queries are broadcast in blocks of bounded size, one block after the other; each block scans the vectors
+once, so the vectors are never shuffled. A small query table is one block.
 """
 
 from __future__ import annotations
@@ -25,9 +25,7 @@ COSINE = "cosine"
 
 MAX_BROADCAST_NUMBERS = 8_000_000
 MAX_KEPT_ROWS = 1_000_000
-SLICE_NUMBERS = 16_000_000
 _QUERIES_PER_BLOCK = 256
-_ROWS_PER_BATCH = 10_000
 _PAIRS_PER_STEP = 100_000
 # Distances are ranked at this resolution, so that the order of summation cannot change a result.
 _DECIMALS = 9
@@ -89,7 +87,11 @@ class _Block:
     def __init__(self, table: pa.Table, dim: int, measure: str):
         self.ids, self.k = _columns(table, "query_id", "k")
         self.vectors = _matrix(table.column("embedding").combine_chunks(), dim).astype(np.float64)
-        self.cells = table.column("cells").to_pylist() if "cells" in table.column_names else None
+        self.probing: dict[int, list[int]] = {}
+        if "cells" in table.column_names:
+            for query, cells in enumerate(table.column("cells").to_pylist()):
+                for cell in cells or ():
+                    self.probing.setdefault(cell, []).append(query)
         self.measure = measure
         self.rough, self.squares = _rough(self.vectors, measure)
         self.rough_error = max(_ROUGH_ERROR, 2e-7 * dim)
@@ -97,29 +99,30 @@ class _Block:
         self.distance = np.empty(0)
         self.worst = np.full(len(self.ids), np.inf)
 
-    def add(self, vectors, rough, squares, chunk, product, cell) -> None:
-        q, v = self._candidates(rough, squares, cell)
+    def add(self, vectors, rough, squares, chunk, product, cell=None) -> None:
+        """Score rows, of one ``cell`` if given: then only the queries that probe it take part."""
+        asked = None if cell is None else np.array(self.probing.get(cell, []), np.int64)
+        if asked is not None and not len(asked):
+            return
+        q, v = self._candidates(rough, squares, slice(None) if asked is None else asked)
         if len(q):
+            q = q if asked is None else asked[q]
             self._merge(q, self._exact(q, v, vectors), chunk[v], product[v])
 
-    def _candidates(self, rough, squares, cell) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, rough, squares, asked) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that may enter the best k: all whose lower bound is within the k-th best upper bound."""
+        own_squares, worst, wanted = self.squares[asked], self.worst[asked], self.k[asked]
         with np.errstate(over="ignore", invalid="ignore"):
-            lower = (self.squares[:, None] + squares) * np.float32(1 - self.rough_error)
-            lower -= 2.0 * (self.rough @ rough.T)
-            error = 2 * self.rough_error * (self.squares + squares.max())
-        if max(self.squares.max(), squares.max()) > _LARGE:
+            lower = (own_squares[:, None] + squares) * np.float32(1 - self.rough_error)
+            lower -= 2.0 * (self.rough[asked] @ rough.T)
+            error = 2 * self.rough_error * (own_squares + squares.max())
+        if max(own_squares.max(), squares.max()) > _LARGE:
             lower[~np.isfinite(lower)] = -np.inf
-        if cell is not None:
-            probed = np.array([np.isin(cell, cells) for cells in self.cells])
-            lower[~probed] = np.inf
-        possible = lower <= (self.worst + _ROUNDING)[:, None]
-        k = int(self.k.max())
-        if k < lower.shape[1] and possible.sum() > _MANY * self.k.sum():
-            limit = np.minimum(self.worst, np.partition(lower, k - 1, axis=1)[:, k - 1] + error)
+        possible = lower <= (worst + _ROUNDING)[:, None]
+        k = int(wanted.max())
+        if k < lower.shape[1] and possible.sum() > _MANY * wanted.sum():
+            limit = np.minimum(worst, np.partition(lower, k - 1, axis=1)[:, k - 1] + error)
             possible = lower <= (limit + _ROUNDING)[:, None]
-        if cell is not None:
-            possible &= probed
         return np.divmod(np.flatnonzero(possible), lower.shape[1])
 
     def _exact(self, q: np.ndarray, v: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -171,8 +174,15 @@ def _scan(batches, queries: pa.Table, dim: int, measure: str) -> Iterator[pa.Rec
         cell = _columns(batch, "cell")[0] if "cell" in batch.schema.names else None
         vectors = _matrix(batch.column("embedding"), dim)
         rough, squares = _rough(vectors, measure)
-        for block in blocks:
-            block.add(vectors, rough, squares, chunk, product, cell)
+        if cell is None:
+            for block in blocks:
+                block.add(vectors, rough, squares, chunk, product)
+            continue
+        for one in np.unique(cell):
+            rows = np.flatnonzero(cell == one)
+            part = [column[rows] for column in (vectors, rough, squares, chunk, product)]
+            for block in blocks:
+                block.add(*part, int(one))
     return (block.result() for block in blocks)
 
 
@@ -185,24 +195,20 @@ def _broadcast_search(vectors: DataFrame, table: pa.Table, dim: int, measure: st
     return vectors.mapInArrow(search, _HITS)
 
 
-def _sliced_search(vectors: DataFrame, queries: DataFrame, dim: int, measure: str, k_max: int) -> DataFrame:
-    per_query_slice = max(1, min(SLICE_NUMBERS // dim, MAX_KEPT_ROWS // k_max))
-    query_slices = -(-queries.count() // per_query_slice) or 1
-    vector_slices = -(-vectors.count() // max(1, SLICE_NUMBERS // dim)) or 1
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = vectors.withColumn("vs", F.pmod(F.xxhash64("chunk_id", "product_id"), F.lit(vector_slices)).cast("int"))
-    left = left.withColumn("qs", numbers(query_slices))
-    right = queries.withColumn("qs", F.pmod(F.xxhash64("query_id"), F.lit(query_slices)).cast("int"))
-    right = right.withColumn("vs", numbers(vector_slices))
+def _blocks(asked: DataFrame, dim: int, most: int) -> Iterator[pa.Table]:
+    """The queries as tables of about ``most`` rows that ask for about ``MAX_KEPT_ROWS`` hits in sum.
 
-    def search(vector_slice: pa.Table, query_slice: pa.Table) -> pa.Table:
-        batches = vector_slice.to_batches(max_chunksize=_ROWS_PER_BATCH)
-        return pa.Table.from_batches(_scan(batches, _usable(query_slice, dim), dim, measure), _HITS_SCHEMA)
-
-    return left.groupBy("qs", "vs").cogroup(right.groupBy("qs", "vs")).applyInArrow(search, _HITS)
+    A single query may ask for more; it then keeps as many hits in a task as the task has vectors.
+    """
+    table = asked.limit(most + 1).toArrow()
+    if table.num_rows <= most and np.asarray(table.column("k")).sum() <= MAX_KEPT_ROWS:
+        yield _usable(table, dim)
+        return
+    capped = F.least(F.col("k"), F.lit(MAX_KEPT_ROWS))
+    n, kept = asked.agg(F.count(F.lit(1)), F.sum(capped)).first()
+    number = max(-(-n // max(1, most // 2)), -(-kept // max(1, MAX_KEPT_ROWS // 2)))
+    for block in range(number):
+        yield _usable(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == block).toArrow(), dim)
 
 
 def nearest(
@@ -230,25 +236,21 @@ def nearest(
         "embedding",
         *[c for c in ("cells",) if c in queries.columns],
     )
-    most = max_broadcast_numbers // dim
-    table = asked.limit(most + 1).toArrow()
-    if table.num_rows <= most:
-        table = _usable(table, dim)
-    if table.num_rows == 0:
+    asked = asked.where(F.size("embedding") == dim)
+    found = None
+    for table in _blocks(asked, dim, max(1, max_broadcast_numbers // dim)):
+        if table.num_rows == 0:
+            continue
+        hits = _broadcast_search(stored, table, dim, measure)
+        k_max = int(np.asarray(table.column("k")).max())
+        ranked = top_k_per_group(hits, ["query_id"], ["distance", "chunk_id"], k_max)
+        ranked = ranked.where(F.col("rank") <= F.col("k")).drop("k")
+        if np.asarray(table.column("k")).sum() <= MAX_KEPT_ROWS:
+            # So few narrow rows that whatever large table they are joined with need not move.
+            ranked = F.broadcast(ranked)
+        found = ranked if found is None else found.unionByName(ranked)
+    if found is None:
         return vectors.sparkSession.createDataFrame(
             [], "query_id bigint, chunk_id bigint, product_id bigint, distance double, rank int"
         )
-    if table.num_rows <= most:
-        k_max = int(np.asarray(table.column("k")).max())
-        small = int(np.asarray(table.column("k")).sum()) <= MAX_KEPT_ROWS
-    else:
-        k_max = int(asked.agg(F.max("k")).first()[0])
-        small = False
-    if small:
-        hits = _broadcast_search(stored, table, dim, measure)
-    else:
-        hits = _sliced_search(stored, asked, dim, measure, k_max)
-    ranked = top_k_per_group(hits, ["query_id"], ["distance", "chunk_id"], k_max)
-    found = ranked.where(F.col("rank") <= F.col("k")).drop("k")
-    # At most MAX_KEPT_ROWS narrow rows: whatever large table they are joined with need not move.
-    return F.broadcast(found) if small else found
+    return found

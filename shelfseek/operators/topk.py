@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_PAGE = 10
-_TASKS_PER_SALT = 16
 
 
 def top_k_per_group(
@@ -14,20 +13,9 @@ def top_k_per_group(
 ) -> DataFrame:
     """The first ``k`` rows of every group, with their rank.
 
-    Spark cuts each task's rows to ``k`` per group before the shuffle. With many tasks the survivors of
-    one hot group would still meet in a single task, so they are first cut to ``k`` per group and salt.
+    Spark cuts each task's rows to ``k`` per group before the one shuffle, so a hot group brings at most k
+    rows from every task to the task that ranks it.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = tasks // _TASKS_PER_SALT
-    ranked = df
-    if salts > 1:
-        ranked = _cut(
-            df.withColumn("_salt", F.spark_partition_id() % salts), [*group, "_salt"], order, k, "_rank"
-        ).drop("_salt", "_rank")
-    return _cut(ranked, group, order, k, rank_col)
-
-
-def _cut(df: DataFrame, group: list[str], order: list[Column | str], k: int, rank_col: str) -> DataFrame:
     position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(rank_col, position).where(F.col(rank_col) <= k)
 

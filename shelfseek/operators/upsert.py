@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from shelfseek.functions.text import UNCATEGORIZED, clean_or
 from shelfseek.operators.keys import continue_ids
-from shelfseek.operators.topk import top_k_per_group
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return top_k_per_group(rows, key, order, 1, "_first").drop("_first")
+    """One row per key, the first in ``order``; pre-aggregated in every task, then one shuffle.
+
+    ``order`` should tell the rows of a key apart; of rows that tie, any one is kept.
+    """
+    kept = F.struct(*[F.col(name) for name in rows.columns])
+    first = rows.groupBy(*[F.col(name).alias(f"_{name}") for name in key]).agg(
+        F.min_by(kept, F.struct(*order)).alias("_first")
+    )
+    return first.select("_first.*")
 
 
 def insertable(target: DataFrame, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:

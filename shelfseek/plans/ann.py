@@ -6,8 +6,10 @@ never shuffled by cell for a search: a cell with very many vectors is many files
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,8 @@ from shelfseek.functions import vectors as V
 from shelfseek.operators.nearest import COSINE, nearest
 from shelfseek.workspace import new_path
 
-DEFAULT_CELLS = 16
-DEFAULT_PROBES = 4
-TRAINING_ROWS = 1_000_000
+#: Share of the cells that a query looks into, if it does not say how many.
+PROBED_SHARE = 1 / 8
 
 
 def _features(vectors: DataFrame, dim: int) -> DataFrame:
@@ -27,15 +28,16 @@ def _features(vectors: DataFrame, dim: int) -> DataFrame:
     return usable.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
 
 
-def train_cells(vectors: DataFrame, dim: int, cells: int = DEFAULT_CELLS, seed: int = 7) -> KMeansModel:
-    """Cell centres by k-means with the cosine measure.
+def train_cells(vectors: DataFrame, dim: int, cells: int | None = None, seed: int = 7) -> KMeansModel:
+    """Cell centres by k-means with the cosine measure, over all usable vectors.
 
-    A part of a very large table is enough to place the centres; every vector is still put into a cell.
+    There are as many cells as the square root of the number of vectors, unless ``cells`` says otherwise:
+    then finding cells and looking into one of them cost the same.
     """
-    share = min(1.0, TRAINING_ROWS / max(1, vectors.count()))
-    part = vectors if share == 1.0 else vectors.sample(share, seed)
-    trainer = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10)
-    return trainer.fit(_features(part, dim).select("features"))
+    features = _features(vectors, dim).select("features")
+    number = cells or max(1, round(vectors.count() ** 0.5))
+    trainer = KMeans(k=max(2, number), seed=seed, distanceMeasure="cosine", maxIter=10)
+    return trainer.fit(features)
 
 
 def write_cells(vectors: DataFrame, model: KMeansModel, dim: int) -> str:
@@ -49,22 +51,33 @@ def write_cells(vectors: DataFrame, model: KMeansModel, dim: int) -> str:
     return path
 
 
-def _cells_by_similarity(embedding: Column, model: KMeansModel) -> Column:
-    """All cell numbers, nearest first. The centres are one literal of cells x dim numbers."""
-    printed = json.dumps([centre.tolist() for centre in model.clusterCenters()])
-    centres = F.from_json(F.lit(printed), "array<array<double>>")
-    measured = F.transform(
-        centres, lambda centre, cell: F.struct((-V.cosine(embedding, centre)).alias("d"), cell.alias("cell"))
-    )
-    return F.transform(F.array_sort(measured), lambda s: s["cell"])
+def _cells_by_similarity(embedding: Column, model: KMeansModel, probes: int) -> Column:
+    """The numbers of the ``probes`` most similar cells, nearest first. The centres are sent out once."""
+    centres = np.array([centre for centre in model.clusterCenters()])
+    lengths = np.linalg.norm(centres, axis=1, keepdims=True)
+    units = centres / np.where(lengths == 0, 1.0, lengths)
+
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in vectors:
+            likeness = np.stack(series.to_numpy()).astype(float) @ units.T if len(series) else np.empty((0, 1))
+            yield pd.Series(list(np.argsort(-likeness, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return nearest_cells(embedding)
 
 
 def search_cells(
-    path: str, queries: DataFrame, model: KMeansModel, dim: int, probes: int = DEFAULT_PROBES
+    path: str, queries: DataFrame, model: KMeansModel, dim: int, probes: int | None = None
 ) -> DataFrame:
-    """The k most similar vectors among each query's ``probes`` nearest cells; other cells are not read."""
-    nearest_cells = F.slice(_cells_by_similarity(F.col("embedding"), model), 1, probes)
-    probed = queries.withColumn("cells", nearest_cells)
+    """The k most similar vectors among each query's ``probes`` nearest cells; other cells are not read.
+
+    A task multiplies the rows of a cell with the queries that probe it, and with no others.
+    """
+    cells = len(model.clusterCenters())
+    wanted_cells = min(cells, probes or max(1, round(cells * PROBED_SHARE)))
+    usable = queries.where(V.is_valid(F.col("embedding"), dim))
+    probed = usable.withColumn("cells", _cells_by_similarity(F.col("embedding"), model, wanted_cells))
+    # at most as many numbers as there are cells
     wanted = [row[0] for row in probed.select(F.explode("cells")).distinct().collect()]
     vectors = queries.sparkSession.read.parquet(path).where(F.col("cell").isin(wanted))
     return nearest(vectors, probed, dim, COSINE)

@@ -49,7 +49,8 @@ def _csv_folder(spark, sf_dir) -> str:
         F.concat("p_name", F.lit(', "'), "p_type", F.lit('"\n'), "p_brand").alias("title"),
         F.when(F.col("p_type") == "PROMO", "NA").when(F.col("p_type") == "SMALL", "  ")
         .otherwise(F.col("p_name")).alias("description"),
-        F.when(F.col("p_type") == "LARGE", "null").otherwise(F.col("p_brand")).alias("store"),
+        F.when(F.col("p_type") == "LARGE", "null").when(F.col("p_type") == "MEDIUM", " ")
+        .otherwise(F.col("p_brand")).alias("store"),
     )
     path = new_path(spark, "csv")
     ordered = rows.repartitionByRange(8, F.col("key").cast("bigint")).sortWithinPartitions(F.col("key").cast("bigint"))
@@ -61,7 +62,7 @@ def _csv_folder(spark, sf_dir) -> str:
 
 @query("a2_csv_scan", """SELECT p_partkey::VARCHAR AS key, p_name || ', "' || p_type || '"' || chr(10) || p_brand AS title,
   CASE p_type WHEN 'PROMO' THEN NULL WHEN 'SMALL' THEN '  ' ELSE p_name END AS description,
-  CASE WHEN p_type = 'LARGE' THEN NULL ELSE p_brand END AS store FROM part""")
+  CASE p_type WHEN 'LARGE' THEN NULL WHEN 'MEDIUM' THEN ' ' ELSE p_brand END AS store FROM part""")
 def a2(spark, sf_dir):
     return scan.csv_scan(spark, _csv_folder(spark, sf_dir), _CSV)
 

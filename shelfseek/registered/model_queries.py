@@ -69,13 +69,25 @@ def l1(spark, sf_dir):
 
 
 def _failing_model() -> M.Model:
-    """Refuses a prompt n mod 7 times with 429 first, and for good with 400 where n is a multiple of 11."""
+    """Refuses a lone prompt n mod 7 times with 429 first, and any with 400 where n is a multiple of 11.
+
+    A group with a refused prompt fails as a whole, or answers some of its prompts with an exception.
+    """
     seen: Counter = Counter()
 
-    def answer(rows: list[dict]) -> list[str]:
+    def refusal(row: dict) -> Exception | None:
+        if row["n"] % 13 == 0:
+            return TimeoutError("too late")
+        return M.ModelError(400) if row["n"] % 11 == 0 else M.ModelError(429) if row["n"] % 7 else None
+
+    def answer(rows: list[dict]) -> list:
+        if len(rows) > 1:
+            if rows[0]["n"] % 2:
+                raise M.ModelError(400)
+            return [refusal(row) or "done" for row in rows]
         (row,) = rows
-        if row["n"] % 11 == 0:
-            raise M.ModelError(400)
+        if row["n"] % 13 == 0 or row["n"] % 11 == 0:
+            raise refusal(row)
         seen[row["prompt_id"]] += 1
         if seen[row["prompt_id"]] <= row["n"] % 7:
             raise M.ModelError(429)
@@ -85,14 +97,17 @@ def _failing_model() -> M.Model:
 
 
 @query("l2_inference_retry_status", f"""WITH {_PROMPTS}
-SELECT prompt_id,
-  CASE WHEN n % 11 = 0 THEN 'Error: failed (status 400)' WHEN n % 7 >= 5 THEN 'Error: failed (status 429)' ELSE 'done' END AS response,
-  CASE WHEN n % 11 = 0 OR n % 7 >= 5 THEN 'error' ELSE 'ok' END AS status,
-  CASE WHEN n % 11 = 0 THEN 1 WHEN n % 7 >= 5 THEN 5 ELSE n % 7 + 1 END::BIGINT AS attempts,
-  (n % 11 = 0 OR n % 7 >= 5) AS again FROM prompts""")
+SELECT prompt_id, CASE WHEN n % 13 = 0 THEN 'Error: TimeoutError' WHEN n % 11 = 0 THEN 'Error: failed (status 400)'
+    WHEN n % 7 >= 5 THEN 'Error: failed (status 429)' ELSE 'done' END AS response,
+  CASE WHEN n % 13 = 0 OR n % 11 = 0 OR n % 7 >= 5 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN n % 13 = 0 OR n % 11 = 0 THEN 1 WHEN n % 7 >= 5 THEN 5 ELSE n % 7 + 1 END::BIGINT AS attempts,
+  (n % 13 = 0 OR n % 11 = 0 OR n % 7 >= 5) AS again FROM prompts""")
 def l2(spark, sf_dir):
+    """Mixed failures in groups of thirty; the answers are written once and then used twice."""
     prompts = _prompts(spark, sf_dir)
-    answers = M.run_prompts(prompts, _failing_model, group_size=1, pause=_no_pause)
+    path = new_path(spark, "answers")
+    M.run_prompts(prompts, _failing_model, pause=_no_pause).write.parquet(path)
+    answers = spark.read.parquet(path)
     again = M.unanswered(prompts, answers).select("prompt_id", F.lit(True).alias("again"))
     return answers.join(again, "prompt_id", "left").select(
         "prompt_id", "response", "status", F.col("attempts").cast("bigint").alias("attempts"),
@@ -195,10 +210,9 @@ def s3(spark, sf_dir):
     return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "query_text", "n_searches")
 
 
-@query("s3_query_volume_stream", f"""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS t FROM events)
-{_DAYS}, w WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= t GROUP BY ALL""")
+@query("s3_query_volume_stream", f"{_DAYS} GROUP BY ALL")
 def s3_stream(spark, sf_dir):
-    """The same counts from a stream: a day appears once the watermark has passed its end."""
+    """The same counts from a stream, open days included."""
     events = W.table(spark, sf_dir, "events")
     stream = (
         spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -206,6 +220,6 @@ def s3_stream(spark, sf_dir):
     )
     out = new_path(spark, "volume")
     Z.stream_query_volume(stream, out, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select(
+    return Z.read_query_volume(spark, out).select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "query_text", "n_searches"
     )

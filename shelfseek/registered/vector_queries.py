@@ -134,7 +134,9 @@ def v3(spark, sf_dir):
 SELECT query_id, chunk_id, round(distance, 6) AS distance FROM hits""")
 def c7(spark, sf_dir):
     """Every query against every vector without broadcasting either table."""
-    return _hits(spark, sf_dir, 50, max_broadcast_numbers=0).select("query_id", "chunk_id", shown_distance())
+    return _hits(spark, sf_dir, 50, max_broadcast_numbers=32 * W.DIM).select(
+        "query_id", "chunk_id", shown_distance()
+    )
 
 
 @query("v4_knn_l2_ids", f"""WITH {W.hits(5)}
@@ -196,7 +198,7 @@ def v7_all(spark, sf_dir):
     cells = ann.train_cells(vectors, W.DIM)
     path = ann.write_cells(vectors, cells, W.DIM)
     asked = request_vectors(W.requests(spark, sf_dir, 10), W.DIM)
-    found = ann.search_cells(path, asked, cells, W.DIM, probes=ann.DEFAULT_CELLS)
+    found = ann.search_cells(path, asked, cells, W.DIM, probes=len(cells.clusterCenters()))
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), shown_distance())
 
 

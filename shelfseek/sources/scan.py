@@ -12,10 +12,12 @@ from shelfseek.operators.keys import positional_ids
 
 # Cell texts that mean "no value" in the catalog CSV.
 NO_VALUE = [
-    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+MAX_BROADCAST_FILES = 100_000
+
 
 def parquet_scan(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Read parquet with a known schema; nothing is inferred."""
@@ -54,7 +56,9 @@ def csv_rows(spark: SparkSession, path: str, schema: T.StructType, row_col: str
     files = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_file", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    placed = rows.join(starts, "_file")
+    # One row per file, and the driver has listed the files anyway.
+    small = len(rows.inputFiles()) <= MAX_BROADCAST_FILES
+    placed = rows.join(F.broadcast(starts) if small else starts, "_file")
     position = F.col("_start") + F.col("_id") - F.col("_first")
     return placed.select(position.alias(row_col), *schema.names)
 

@@ -78,26 +78,38 @@ def stream_query_log(
 def stream_query_volume(
     stream: DataFrame, out: str, checkpoint: str, width: str = "1 day", lateness: str = "1 hour"
 ) -> StreamingQuery:
-    """Searches per window and text; a window is written once no late row can reach it any more.
+    """Searches per window and text, written again in every batch that changes them.
 
-    The log time has no zone and a watermark needs one, so the time is taken as UTC meanwhile.
+    Open windows are written too. A batch has a folder of its own that a replay replaces; the count of a
+    window is the one of its last batch, see ``read_query_volume``. The log time has no zone and a watermark
+    needs one, so the time is taken as UTC meanwhile.
     """
     zone = F.current_timezone()
     zoned = stream.withColumn("ts", F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), zone))
-    counted = query_volume(zoned.withWatermark("ts", lateness), F.col("ts"), width)
+    counted = query_volume(zoned.withWatermark("ts", lateness), F.col("ts"), width).select(
+        F.to_utc_timestamp("w.start", zone).cast("timestamp_ntz").alias("start"), "query_text", "n_searches"
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _replace_batch(batch, out, batch_id)
+
     return (
-        counted.select(
-            F.to_utc_timestamp("w.start", zone).cast("timestamp_ntz").alias("start"), "query_text", "n_searches"
-        )
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
+        counted.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+_VOLUME = "start timestamp_ntz, query_text string, n_searches bigint, batch_id bigint"
+
+
+def read_query_volume(spark: SparkSession, out: str) -> DataFrame:
+    """(start, query_text, n_searches): the latest count of every window."""
+    versions = read_batches(spark, out, T.StructType.fromDDL(_VOLUME))
+    return versions.groupBy("start", "query_text").agg(F.max_by("n_searches", "batch_id").alias("n_searches"))
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Everything the batches have written so far; empty before the first one."""
     try:

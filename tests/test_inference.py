@@ -47,13 +47,30 @@ def test_retries(spark):
     assert {r["prompt_id"] for r in M.unanswered(_prompts(spark, 5), answers).collect()} == {1, 2, 3}
 
 
+def test_one_bad_prompt_in_a_group_fails_alone(spark):
+    def make():
+        def model(rows):
+            if any(row["prompt_id"] == 4 for row in rows):
+                raise M.ModelError(400)
+            if any(row["prompt_id"] == 9 for row in rows):
+                raise TimeoutError("too late")
+            return [ValueError("no") if row["prompt_id"] == 12 else row["prompt"] for row in rows]
+
+        return model
+
+    answers = M.run_prompts(_prompts(spark, 40), make, group_size=10, pause=lambda seconds: None).collect()
+    failed = {r["prompt_id"]: r["response"] for r in answers if r["status"] == "error"}
+    assert failed == {4: "Error: failed (status 400)", 9: "Error: TimeoutError", 12: "Error: ValueError"}
+    assert sorted(r["response"] for r in answers if r["status"] == "ok") == sorted(f"p{i}" for i in range(40) if i not in failed)
+
+
 def test_pauses_double():
     waited = []
 
     def model(rows):
         raise M.ModelError(429)
 
-    assert M._ask(model, [{}], waited.append)[2] == 5
+    assert M._ask(model, [{}], waited.append)[0][2] == 5
     assert waited == [1, 2, 4, 8]
 
 

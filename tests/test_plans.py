@@ -13,6 +13,7 @@ from shelfseek.operators import quality as Q
 from shelfseek.operators.catalog import join_products
 from shelfseek.operators.nearest import nearest
 from shelfseek.operators.topk import top_k_per_group
+from shelfseek.operators.upsert import first_per_key
 from shelfseek.plans.search import request_vectors, search
 from shelfseek.registered import views as W
 
@@ -68,6 +69,20 @@ def test_groups_are_cut_before_the_shuffle(spark, sf_dir):
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text
 
 
+@pytest.mark.parametrize("partitions", [8, 200, 2000])
+def test_one_row_per_key_takes_one_shuffle(spark, sf_dir, partitions):
+    lines = W.table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        text = plan(first_per_key(lines, ["l_partkey"], ["l_orderkey", "l_linenumber"]))
+        ranked = plan(top_k_per_group(lines, ["l_partkey"], ["l_orderkey", "l_linenumber"], 3))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_min_by" in text
+    assert ranked.count("Exchange hashpartitioning") == 1
+
+
 def test_foreign_keys_are_counted_before_the_join(spark, sf_dir):
     lines, part = W.table(spark, sf_dir, "lineitem"), W.table(spark, sf_dir, "part")
     text = plan(Q.orphans(lines, "l_partkey", part, "p_partkey"))

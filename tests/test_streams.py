@@ -56,7 +56,7 @@ def test_replayed_batch_changes_nothing(spark, tables):
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_volume_does_not_depend_on_the_session_zone(spark, zone):
-    folder, out = new_path(spark, "in"), new_path(spark, "out")
+    folder, out, progress = (new_path(spark, name) for name in ("in", "out", "progress"))
     start = dt.datetime(2024, 1, 1)
     rows = [(i, "q", 1, start + dt.timedelta(hours=i)) for i in range(60)]
     before = spark.conf.get("spark.sql.session.timeZone")
@@ -64,8 +64,15 @@ def test_volume_does_not_depend_on_the_session_zone(spark, zone):
     try:
         spark.createDataFrame(rows, QUERY_LOG).coalesce(1).write.parquet(folder)
         stream = spark.readStream.schema(QUERY_LOG).parquet(folder)
-        Z.stream_query_volume(stream, out, new_path(spark, "progress")).awaitTermination()
-        got = {tuple(r) for r in spark.read.parquet(out).collect()}
+        Z.stream_query_volume(stream, out, progress).awaitTermination()
+        got = {tuple(r) for r in Z.read_query_volume(spark, out).collect()}
+        late = [(100, "q", 1, start + dt.timedelta(hours=59)), (101, "q", 1, start + dt.timedelta(hours=80))]
+        spark.createDataFrame(late, QUERY_LOG).coalesce(1).write.mode("append").parquet(folder)
+        again = spark.readStream.schema(QUERY_LOG).parquet(folder)
+        Z.stream_query_volume(again, out, progress).awaitTermination()
+        then = {tuple(r) for r in Z.read_query_volume(spark, out).collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
-    assert got == {(start, "q", 24), (start + dt.timedelta(days=1), "q", 24)}
+    days = [start + dt.timedelta(days=i) for i in range(4)]
+    assert got == {(days[0], "q", 24), (days[1], "q", 24), (days[2], "q", 12)}
+    assert then == {(days[0], "q", 24), (days[1], "q", 24), (days[2], "q", 13), (days[3], "q", 1)}

@@ -53,18 +53,17 @@ def as_set(df):
 
 
 @pytest.mark.parametrize("measure", [L2_SQUARED, COSINE])
-@pytest.mark.parametrize("way", ["broadcast", "sliced", "small slices", "salted"])
+@pytest.mark.parametrize("way", ["one block", "many blocks", "few hits a block", "many partitions"])
 def test_nearest_is_exact(spark, world, measure, way, monkeypatch):
     vectors, queries = world
     expected = as_set(brute_force(vectors, queries, measure))
     options = {}
-    if way in ("sliced", "small slices"):
-        options["max_broadcast_numbers"] = 0
-    if way == "small slices":
-        monkeypatch.setattr(X, "SLICE_NUMBERS", 50 * DIM)
-        monkeypatch.setattr(X, "MAX_KEPT_ROWS", 6000)
+    if way == "many blocks":
+        options["max_broadcast_numbers"] = 8 * DIM
+    if way == "few hits a block":
+        monkeypatch.setattr(X, "MAX_KEPT_ROWS", 600)
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    if way == "salted":
+    if way == "many partitions":
         spark.conf.set("spark.sql.shuffle.partitions", "48")
     try:
         assert as_set(nearest(vectors, queries, DIM, measure, **options)) == expected
@@ -95,11 +94,15 @@ def test_very_long_vectors(spark):
         assert got == {(q, r, c) for q, r, c, _, _ in as_set(brute_force(vectors, queries, measure))}
 
 
-def test_many_kept_rows_take_the_sliced_way(spark, world, monkeypatch):
+def test_one_very_large_k_changes_neither_rows_nor_plan(spark, world):
     vectors, queries = world
-    expected = as_set(nearest(vectors, queries, DIM))
-    monkeypatch.setattr(X, "MAX_KEPT_ROWS", 100)
-    assert as_set(nearest(vectors, queries, DIM)) == expected
+    few = queries.where("k < 1000")
+    large = few.limit(1).select((F.col("query_id") + 1000).alias("query_id"), F.lit(1_000_001).alias("k"), "embedding")
+    both = few.unionByName(large)
+    found = nearest(vectors, both, DIM)
+    assert as_set(found) == as_set(brute_force(vectors, both, L2_SQUARED))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in text and "Generate explode" not in text and "MapInArrow" in text
 
 
 def test_no_queries_and_no_vectors(spark, world):
