@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,34 @@ def embed(df: DataFrame, text_col: str, dim: int = DIM, out_col: str = "embeddin
     return df.withColumn(out_col, hashed_vector(F.coalesce(F.col(text_col), F.lit("")), dim))
 
 
+@dataclass(frozen=True)
+class TextEmbedder:
+    """How texts become vectors: a name that stands for the model and its version, and an expression."""
+
+    name: str
+    dim: int
+    vector: Callable[[Column], Column]
+
+
+def hashing(dim: int = DIM) -> TextEmbedder:
+    return TextEmbedder(f"hashing-{dim}", dim, lambda text: hashed_vector(text, dim))
+
+
+def from_model(name: str, dim: int, make_embedder: Callable[[], Embedder], batch_size: int = HOSTED_BATCH) -> TextEmbedder:
+    """An embedder around a model that takes up to ``batch_size`` texts a call and is built once per task."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_embedder()
+        for texts in batches:
+            found: list = []
+            for start in range(0, len(texts), batch_size):
+                found += model(texts.iloc[start : start + batch_size].tolist())
+            yield pd.Series([np.asarray(vector, np.float32) for vector in found], dtype=object)
+
+    return TextEmbedder(name, dim, lambda text: vectors(text))
+
+
 def embed_in_batches(
     df: DataFrame,
     key_col: str,

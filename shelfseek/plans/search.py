@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfseek.operators.catalog import MAX_DISTANCE, join_products, split_requests, within_cutoff
-from shelfseek.operators.embedding import hashed_vector
+from shelfseek.operators.embedding import TextEmbedder, hashing
 from shelfseek.operators.nearest import nearest
 from shelfseek.operators.topk import best_hit_per_product, rerank
 
 
-def request_vectors(requests: DataFrame, dim: int) -> DataFrame:
+def request_vectors(requests: DataFrame, dim: int, embedder: TextEmbedder | None = None) -> DataFrame:
     """(query_id, k, embedding) of the accepted requests; the text is embedded as it was sent."""
     accepted, _ = split_requests(requests)
-    return accepted.select("query_id", "k", hashed_vector(F.col("query"), dim).alias("embedding"))
+    vector = (embedder or hashing(dim)).vector
+    return accepted.select("query_id", "k", vector(F.col("query")).alias("embedding"))
 
 
 def search(
-    requests: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, limit: float = MAX_DISTANCE
+    requests: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, limit: float = MAX_DISTANCE,
+    embedder: TextEmbedder | None = None,
 ) -> DataFrame:
-    """The ranked products of every request.
+    """The ranked products of every request. ``embedder`` must be the one that made the vectors.
 
     k bounds the chunks that are found, before the distance limit and before several chunks of one
     product become one result; a query may so get fewer than k products.
     """
-    hits = within_cutoff(nearest(vectors, request_vectors(requests, dim), dim), limit)
+    hits = within_cutoff(nearest(vectors, request_vectors(requests, dim, embedder), dim), limit)
     return rerank(join_products(best_hit_per_product(hits).drop("rank"), products))

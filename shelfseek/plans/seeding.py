@@ -13,8 +13,8 @@ from shelfseek.functions.semistructured import json_or_empty
 from shelfseek.functions.text import UNTITLED, clean_or, description_or_title
 from shelfseek.operators import upsert as U
 from shelfseek.operators.keys import continue_ids
-from shelfseek.schemas import CATEGORY, PRODUCT
-from shelfseek.sources.publish import publish
+from shelfseek.schemas import CATEGORY, PRODUCT, PRODUCT_EMBEDDINGS
+from shelfseek.sources.publish import publish, published_or_empty
 
 
 @dataclass
@@ -85,10 +85,16 @@ def seed(
 
 
 def seed_and_publish(raw: DataFrame, base: str, order_by: list[str], at: dt.datetime | None = None) -> Load:
-    """First load of a catalog: both tables become visible together or not at all."""
+    """Load rows into the published catalog, which may be empty yet.
+
+    Ids and categories continue the published ones. Only new rows are written, and both tables show them
+    together or not at all.
+    """
     spark = raw.sparkSession
-    load = seed(raw, spark.createDataFrame([], PRODUCT), spark.createDataFrame([], CATEGORY), order_by, at)
-    publish(spark, base, {"product": load.products, "category": load.categories})
+    products = published_or_empty(spark, base, "product", PRODUCT)
+    categories = published_or_empty(spark, base, "category", CATEGORY)
+    load = seed(raw, products, categories, order_by, at)
+    publish(spark, base, {"product": load.new_products, "category": load.new_categories}, append=True)
     return load
 
 
@@ -112,3 +118,12 @@ def insert_with_embeddings(
     )
     numbered = continue_ids(pairs, embeddings, ["product_id"], "embedding_id")
     return new_products.select(*PRODUCT.names), numbered.withColumn("created_at", U.load_time(at))
+
+
+def publish_with_embeddings(incoming: DataFrame, base: str, order_by: list[str], at: dt.datetime | None = None) -> None:
+    """Add products and their vectors to the published tables, in one version."""
+    spark = incoming.sparkSession
+    products = published_or_empty(spark, base, "product", PRODUCT)
+    embeddings = published_or_empty(spark, base, "product_embeddings", PRODUCT_EMBEDDINGS)
+    rows, embedded = insert_with_embeddings(incoming, products, embeddings, order_by, at)
+    publish(spark, base, {"product": rows, "product_embeddings": embedded}, append=True)

@@ -15,12 +15,12 @@ from shelfseek.operators.catalog import split_requests
 from shelfseek.operators.keys import continue_ids, positional_ids
 from shelfseek.operators.topk import top_k_per_group
 from shelfseek.plans import seeding
-from shelfseek.plans.querylog import log_queries
+from shelfseek.plans.querylog import publish_log
 from shelfseek.plans.search import search
 from shelfseek.registered import views as W
 from shelfseek.registered.registry import query
 from shelfseek.registered.vector_queries import search_sql
-from shelfseek.schemas import CATEGORY, PRODUCT, PRODUCT_EMBEDDINGS
+from shelfseek.schemas import CATEGORY, PRODUCT, QUERY_LOG
 from shelfseek.sources.publish import publish, read_published
 from shelfseek.workspace import new_path
 
@@ -267,8 +267,12 @@ def d1(spark, sf_dir):
 @query("a11_seed_tables_sink", f"""WITH {_LOADED}
 SELECT l.product_id, l.title, l.price, cats.title AS category FROM loaded l JOIN cats ON category_id = main_category_id""")
 def a11(spark, sf_dir):
+    """Two halves loaded one after the other give the published tables of one load."""
     base = new_path(spark, "catalog")
-    seeding.seed_and_publish(_raw_catalog(spark, sf_dir), base, ["row"], AT)
+    raw = _raw_catalog(spark, sf_dir)
+    middle = raw.agg(F.percentile_approx("row", 0.5)).first()[0]
+    for half in (F.col("row") <= middle, F.col("row") > middle):
+        seeding.seed_and_publish(raw.where(half), base, ["row"], AT)
     categories = read_published(spark, base, "category").select(
         F.col("category_id").alias("main_category_id"), F.col("title").alias("category")
     )
@@ -293,9 +297,14 @@ def h5(spark, sf_dir):
             "features": F.lit(None).cast("array<string>"), "details": F.lit(None).cast("map<string,string>"),
         }
     )
-    rows, embedded = seeding.insert_with_embeddings(
-        incoming, products.where("category = 'ECONOMY'"), spark.createDataFrame([], PRODUCT_EMBEDDINGS), ["chunk_id"], AT
-    )
+    base = new_path(spark, "inserted")
+    known = seeding.product_rows(products.where("category = 'ECONOMY'").withColumn("main_category_id", F.lit(1)).withColumns(
+        {name: F.lit(None) for name in ("description", "images", "features", "details")}
+    ), ["product_id"], AT)
+    publish(spark, base, {"product": known.select(*PRODUCT.names)})
+    seeding.publish_with_embeddings(incoming, base, ["chunk_id"], AT)
+    rows = read_published(spark, base, "product").join(known.select("product_id"), "product_id", "left_anti")
+    embedded = read_published(spark, base, "product_embeddings")
     total = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
     return embedded.join(rows.select("product_id", "title", "price", "details"), "product_id", "left").select(
         "embedding_id", "product_id", "description", F.round(total, 6).alias("total"), "title", "price", "details"
@@ -388,7 +397,13 @@ def h10(spark, sf_dir):
     asked = W.requests(spark, sf_dir, 100)
     accepted, _ = split_requests(asked)
     found = search(asked, W.vectors(spark, sf_dir), W.products(spark, sf_dir), W.DIM)
-    entries, bridge = log_queries(accepted, found, _log(spark, sf_dir), AT)
+    base = new_path(spark, "log")
+    log = _log(spark, sf_dir)
+    timed = log.withColumn("timestamp", U.load_time(AT))
+    publish(spark, base, {"query_log": timed.select(*[F.col(f.name).cast(f.dataType) for f in QUERY_LOG.fields])})
+    publish_log(accepted, found, base, AT)
+    entries = read_published(spark, base, "query_log").join(log.select("query_id"), "query_id", "left_anti")
+    bridge = read_published(spark, base, "query_log_product")
     return entries.join(bridge, "query_id", "left").select(
         "query_id", "query_text", F.col("user_id").cast("bigint").alias("user_id"), "product_id"
     )

@@ -433,3 +433,50 @@ def a8(spark, sf_dir):
     return K.chunks_per_product(chunks).select(
         "product_id", "n_chunks", F.lit(first).alias("built_first"), F.lit(again).alias("built_again")
     )
+
+
+_CHANGED = """changed AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'Changed. ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 1)"""
+
+
+@query("a8_follow_changes", f"""WITH RECURSIVE {_CHANGED}, {W.paragraphs_sql('changed')}
+SELECT product_id, count(*) AS n_chunks, bool_or(starts_with(chunk_text, 'Changed.')) AS changed FROM chunks GROUP BY product_id""")
+def a8_changes(spark, sf_dir):
+    """Some documents go and some change between two builds; the second one follows."""
+    base = new_path(spark, "index")
+    docs = W.documents(spark, sf_dir)
+    build_index(docs, base, W.DIM, K.paragraph_chunks)
+    text = F.when(F.col("product_id") % 10 == 3, F.concat(F.lit("Changed. "), "text")).otherwise(F.col("text"))
+    chunks, _ = build_index(docs.where("product_id % 7 <> 1").withColumn("text", text), base, W.DIM, K.paragraph_chunks)
+    return chunks.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.max(F.col("chunk_text").startswith("Changed.")).alias("changed")
+    )
+
+
+def _shape_model() -> E.Embedder:
+    """A stand-in for a trained model: four plain measures of a text."""
+    return lambda texts: [[len(t) / 4096, t.count("e") / 512, t.count("\n") / 64, t.count(" ") / 1024] for t in texts]
+
+
+def _shape_sql(source: str, key: str, name: str) -> str:
+    counted = ", ".join(
+        f"(length(text) - length(replace(text, {sign}, ''))) / {scale}.0" for sign, scale in (("'e'", 512), ("chr(10)", 64), ("' '", 1024))
+    )
+    return f"{name} AS (SELECT {key}, [length(text) / 4096.0, {counted}]::FLOAT[] AS e FROM {source})"
+
+
+@query("v8_model_search", f"""WITH {_shape_sql('benchmark', 'item_id', 'q')}, {_shape_sql('documents', 'doc_id', 'd')},
+pairs AS (SELECT q.item_id AS query_id, d.doc_id AS product_id,
+  round(list_sum(list_transform(list_zip(q.e, d.e), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))), 9) AS distance FROM q, d),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, product_id) AS rank FROM pairs)
+SELECT query_id, rank, product_id, round(distance, 6) AS distance FROM hits WHERE rank <= 10 AND NOT distance > 2.0""")
+def v8_model(spark, sf_dir):
+    """An index and a search with a model of the user's."""
+    model = E.from_model("shape-1", 4, _shape_model)
+    docs = W.documents(spark, sf_dir)
+    whole = lambda df: df.select(
+        F.col("product_id").alias("chunk_id"), "product_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("chunk_text")
+    )
+    vectors, _ = build_index(docs, new_path(spark, "index"), 4, whole, embedder=model, settings="whole texts")
+    found = search(W.requests(spark, sf_dir, 10), vectors, docs.select("product_id"), 4, embedder=model)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "product_id", shown_distance())

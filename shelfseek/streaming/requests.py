@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfseek.operators.catalog import split_requests
+from shelfseek.operators.embedding import TextEmbedder
 from shelfseek.operators.reports import matched_products, query_volume
 from shelfseek.operators.upsert import load_time
 from shelfseek.plans.search import search
@@ -37,12 +38,13 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def stream_search(
-    stream: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, out: str, checkpoint: str
+    stream: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, out: str, checkpoint: str,
+    embedder: TextEmbedder | None = None,
 ) -> StreamingQuery:
     """Append the results of every request to ``out``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _replace_batch(search(batch, vectors, products, dim), out, batch_id)
+        _replace_batch(search(batch, vectors, products, dim, embedder=embedder), out, batch_id)
 
     return _per_batch(stream, checkpoint, write)
 
@@ -65,12 +67,13 @@ def log_batch(batch: DataFrame, results: DataFrame, out: str, batch_id: int) ->
 
 
 def stream_query_log(
-    stream: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, out: str, checkpoint: str
+    stream: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, out: str, checkpoint: str,
+    embedder: TextEmbedder | None = None,
 ) -> StreamingQuery:
     """Search every request and log it with its matched products."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log_batch(batch, search(batch, vectors, products, dim), out, batch_id)
+        log_batch(batch, search(batch, vectors, products, dim, embedder=embedder), out, batch_id)
 
     return _per_batch(stream, checkpoint, write)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from functools import partial
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from shelfseek.operators import quality as Q
 from shelfseek.operators import reports as R
 from shelfseek.operators import upsert as U
 from shelfseek.operators.chunking import paragraph_chunks
+from shelfseek.operators.embedding import from_model
 from shelfseek.operators.keys import continue_ids, positional_ids
 from shelfseek.operators.topk import top_k_per_group
 from shelfseek.plans import seeding
@@ -125,6 +128,49 @@ def test_index_is_rebuilt_when_its_source_changes(spark):
     assert build_index(docs.where("false"), new_path(spark, "t"), 16, paragraph_chunks)[0].count() == 0
 
 
+def test_rows_that_come_in_pairs_count(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "product_id bigint, text string")
+    other = spark.createDataFrame([(1, "c"), (1, "c"), (2, "b")], "product_id bigint, text string")
+    assert P.fingerprint(docs, "product_id", "text") != P.fingerprint(other, "product_id", "text")
+
+
+def test_settings_are_part_of_the_mark(spark):
+    base = new_path(spark, "t")
+    docs = spark.createDataFrame([(1, "One two three four. " * 20)], "product_id bigint, text string")
+    with pytest.raises(ValueError, match="settings"):
+        build_index(docs, base, 16, lambda d: paragraph_chunks(d, 5))
+    sizes = []
+    for words in (5, 40, 40):
+        chunks, built = build_index(docs, base, 16, partial(paragraph_chunks, target_words=words), settings=f"paragraphs-{words}")
+        sizes.append((chunks.count(), built))
+    assert sizes == [(20, True), (2, True), (2, False)]
+
+
+def test_index_embeds_only_what_changed(spark):
+    base = new_path(spark, "t")
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        def embed_texts(texts):
+            seen.add(len(texts))
+            return [[float(len(text))] for text in texts]
+
+        return embed_texts
+
+    model = from_model("length", 1, make)
+    whole = lambda d: d.selectExpr("product_id", "product_id as chunk_id", "text as chunk_text")
+    rows_then = [(i, f"text {i}") for i in range(20)]
+    rows_now = [(i, f"text {i}" if i else "changed") for i in range(15)] + [(30, "new")]
+    counts = []
+    for content in (rows_then, rows_now):
+        before = seen.value
+        docs = spark.createDataFrame(content, "product_id bigint, text string")
+        chunks, _ = build_index(docs, base, 1, whole, embedder=model, settings="whole")
+        assert sorted((r.product_id, r.embedding[0]) for r in chunks.collect()) == sorted((i, float(len(t))) for i, t in content)
+        counts.append(seen.value - before)
+    assert counts == [20, 2]
+
+
 # --- keys and groups --------------------------------------------------------------------------------
 
 
@@ -187,6 +233,10 @@ def test_seed_publish_is_all_or_nothing(spark, csv_path):
     seeding.seed_and_publish(raw, base, ["row_number"])
     assert P.read_published(spark, base, "product").count() == 3
     assert P.read_published(spark, base, "category").count() == 3
+    seeding.seed_and_publish(raw, base, ["row_number"])
+    assert sorted(r["product_id"] for r in P.read_published(spark, base, "product").collect()) == [1, 2, 3, 4, 5, 6]
+    assert P.read_published(spark, base, "category").count() == 3
+    assert len(P.latest(spark, base)["product"][0]) == 2
 
 
 def test_cascade_and_parents(spark):
