@@ -109,3 +109,8 @@ def products_with_stores(products: DataFrame, supplied: DataFrame, stores: DataF
     """
     pairs = supplied.groupBy("product_id", "store_id").agg(F.count(F.lit(1)).alias("n_children"))
     return pairs.join(products, "product_id").join(stores, "store_id")
+
+
+def child_rows(products: DataFrame, values: Column, name: str) -> DataFrame:
+    """(product_id, place, value): the items of an array as rows; products without items give none."""
+    return products.select("product_id", F.posexplode(values).alias("place", name))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfseek.functions.text import description_or_title
 from shelfseek.operators import catalog as C
 from shelfseek.operators.chunking import paragraph_chunks
 from shelfseek.operators.upsert import category_title
+from shelfseek.plans.seeding import seed
 from shelfseek.registered import views as W
 from shelfseek.registered.registry import query
 from shelfseek.registered.text_queries import clean_description_sql
+from shelfseek.schemas import CATEGORY, PRODUCT
 from shelfseek.sources import scan
 from shelfseek.workspace import new_path
 
@@ -73,27 +74,47 @@ def a3(spark, sf_dir):
     return scan.csv_descriptions(spark, _csv_folder(spark, sf_dir), _CSV)
 
 
-@query("a4_text_dir_scan", """SELECT source, sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source""")
-def a4(spark, sf_dir):
-    """Documents written as text files per source and read back file by file."""
+def _text_folder(spark, sf_dir) -> str:
+    """The documents as text files, in a folder per source."""
     path = new_path(spark, "texts")
     docs = W.table(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
     docs.write.partitionBy("source").option("maxRecordsPerFile", 1000).text(path)
-    files = scan.text_files(spark, path, "source=(.*)/")
-    return files.groupBy(F.col("folder").alias("source")).agg(F.sum(F.length("text")).alias("n_chars"))
+    return path
+
+
+@query("a4_text_dir_scan", """WITH d AS (SELECT source, sum(length(text) + 1)::BIGINT AS n_chars FROM documents GROUP BY source)
+SELECT *, row_number() OVER (ORDER BY source) AS place FROM d""")
+def a4(spark, sf_dir):
+    """Documents written as text files per source and read back file by file, numbered in path order.
+
+    The ids of all files follow each other without gaps, so a source's place is that of its smallest id.
+    """
+    files = scan.text_files(spark, _text_folder(spark, sf_dir), "source=(.*)/")
+    found = files.groupBy(F.col("folder").alias("source")).agg(
+        F.sum(F.length("text")).alias("n_chars"), F.min("product_id").alias("_first"), F.max("product_id").alias("_last"),
+        F.countDistinct("product_id").alias("_ids"), F.count(F.lit(1)).alias("_files"),
+    )
+    # files of one source are neighbours: their ids are a range of their own
+    whole = found.where("_ids = _files and _last - _first + 1 >= _files")
+    place = F.row_number().over(Window.orderBy("_first")).cast("bigint")
+    return whole.withColumn("place", place).select("source", "n_chars", "place")
 
 
 @query("a5_document_source_fallback", f"""WITH {_DESCRIBED}
 SELECT product_id, title AS text FROM described WHERE trim(description, ' ') <> ''
 UNION ALL
-SELECT row_number() OVER (ORDER BY p_partkey) - 1, p_name FROM part QUALIFY p_type NOT IN ('PROMO', 'SMALL')""")
+SELECT product_id, p_name FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS product_id, p_name, p_type FROM part)
+WHERE p_type NOT IN ('PROMO', 'SMALL')
+UNION ALL SELECT -1, sum(length(text) + 1)::BIGINT::VARCHAR FROM documents""")
 def a5(spark, sf_dir):
-    """The catalog answers when it has described rows; with none of them, the CSV does."""
+    """The catalog answers when it has described rows; with none of them, the CSV does; else the text files."""
     described = _described(spark, sf_dir)
     csv = _csv_folder(spark, sf_dir)
     none = described.withColumn("description", F.lit(None).cast("string"))
     full = scan.load_documents(described, csv, _CSV, csv)
-    return full.unionByName(scan.load_documents(none, csv, _CSV, csv))
+    files = scan.load_documents(none, new_path(spark, "nothing"), _CSV, _text_folder(spark, sf_dir))
+    letters = files.agg(F.sum(F.length("text")).cast("string").alias("text")).select(F.lit(-1).cast("bigint").alias("product_id"), "text")
+    return full.unionByName(scan.load_documents(none, csv, _CSV, csv)).unionByName(letters)
 
 
 @query("a6_raw_parquet_scan", "SELECT p_partkey, p_name, p_type, p_retailprice FROM part")
@@ -163,14 +184,19 @@ def b7(spark, sf_dir):
 @query("b8_skip_no_text", """SELECT p_type AS category, count(*) AS n_rows,
   count_if(p_type <> 'PROMO' AND p_brand <> 'Brand#3') AS n_products FROM part GROUP BY p_type""")
 def b8(spark, sf_dir):
-    """Rows without any text add no product; their category counts all the same."""
+    """A load adds no product for rows without any text; their category is created all the same."""
     part = W.table(spark, sf_dir, "part")
     textless = (F.col("p_type") == "PROMO") | (F.col("p_brand") == "Brand#3")
-    rows = part.select(
-        category_title(F.col("p_type")).alias("category"),
-        description_or_title(F.lit("\u00a0 "), F.when(textless, F.lit(" ")).otherwise(F.col("p_name"))).alias("d"),
-    )
-    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("n_products"))
+    given = {name: F.lit(None).cast("string") for name in ("store", "details", "features", "images", "average_rating", "rating_number")}
+    raw = part.select(
+        F.col("p_partkey").alias("row"), F.col("p_type").alias("main_category"), F.lit("\u00a0 ").alias("description"),
+        F.when(textless, F.lit(" ")).otherwise(F.col("p_name")).alias("title"), F.lit("1").alias("price"),
+    ).withColumns(given)
+    load = seed(raw, spark.createDataFrame([], PRODUCT), spark.createDataFrame([], CATEGORY), ["row"])
+    rows = raw.groupBy(category_title(F.col("main_category")).alias("category")).agg(F.count(F.lit(1)).alias("n_rows"))
+    added = load.products.groupBy(F.col("main_category_id").alias("category_id")).agg(F.count(F.lit(1)).alias("n"))
+    counted = load.categories.join(added, "category_id", "left")
+    return counted.select(F.col("title").alias("category"), F.coalesce("n", F.lit(0)).alias("n_products")).join(rows, "category")
 
 
 @query("b10_result_projection", f"""WITH RECURSIVE {W.paragraphs_sql()}, {W.PRODUCTS},

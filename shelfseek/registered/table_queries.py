@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfseek.functions.text import sentences
 from shelfseek.operators import catalog as C
 from shelfseek.operators import quality as Q
 from shelfseek.operators import reports as R
@@ -106,6 +107,17 @@ def c8(spark, sf_dir):
     return joined.select("product_id", "title", "store_id", "store", "n_children")
 
 
+@query("c8_child_rows", f"""WITH {W.sentences_sql()},
+shown AS (SELECT product_id, i - 1 AS place, s AS feature FROM sents)
+SELECT product_id, source AS title, place, feature FROM shown JOIN documents ON doc_id = product_id""")
+def c8_children(spark, sf_dir):
+    """The features of a product as rows of a table of their own, joined back by key."""
+    products = W.documents(spark, sf_dir, "source").withColumnRenamed("source", "title")
+    children = C.child_rows(products, sentences(F.col("text")), "feature")
+    joined = children.join(products.select("product_id", "title"), "product_id")
+    return joined.select("product_id", "title", F.col("place").cast("bigint").alias("place"), "feature")
+
+
 # --- reports ----------------------------------------------------------------------------------------
 
 
@@ -313,7 +325,10 @@ def h5(spark, sf_dir):
 
 @query("h6_ensure_prerequisites", """SELECT c_custkey AS user_id, c_name AS name, 'customer' AS origin FROM customer
 UNION ALL
-SELECT DISTINCT o_custkey + 1000000000, 'User ' || (o_custkey + 1000000000), 'referenced' FROM orders""")
+SELECT DISTINCT o_custkey + 1000000000, 'User ' || (o_custkey + 1000000000), 'referenced' FROM orders
+UNION ALL
+SELECT k, 'Category ' || k, CASE WHEN k < 4 THEN 'category' ELSE 'referenced category' END
+FROM (SELECT DISTINCT label::BIGINT AS k FROM embeddings UNION SELECT unnest(range(4)))""")
 def h6(spark, sf_dir):
     """Orders refer to known customers and to unknown ones, which get a placeholder row."""
     users = _users(spark, sf_dir).select("user_id", "name", F.lit("customer").alias("origin"))
@@ -322,7 +337,12 @@ def h6(spark, sf_dir):
     named = missing.select(
         "user_id", F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("name"), F.lit("referenced").alias("origin")
     )
-    return users.unionByName(named)
+    known = spark.range(4).select(F.col("id").alias("category_id"))
+    labels = W.table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("category_id"))
+    missing = U.missing_parents(labels, known, "category_id")
+    categories = known.withColumn("origin", F.lit("category")).unionByName(missing.withColumn("origin", F.lit("referenced category")))
+    title = F.concat(F.lit("Category "), F.col("category_id").cast("string"))
+    return users.unionByName(named).union(categories.select("category_id", title, "origin"))
 
 
 @query("h7_constraint_report", """SELECT 'product' AS table_name, 'primary key' AS rule, (SELECT count(*) FROM (SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1)) AS violations

@@ -25,12 +25,12 @@ def _strip_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-def _blanks(spark, sf_dir) -> DataFrame:
+def _blanks(spark, sf_dir, *kept: str) -> DataFrame:
     """All documents, and for each of them the shapes of "no text"."""
     texts = [F.col("text"), F.concat(F.lit("\u00a0\t"), "text", F.lit(" \u001c"))]
     shapes = [F.lit(s) for s in ("", "   ", "\t", "\u00a0", "\u001c")]
-    docs = W.documents(spark, sf_dir).withColumnRenamed("text", "whole").withColumn("text", F.col("whole"))
-    return W.variants(docs.drop("whole"), "shape", [*texts, F.lit(None).cast("string"), *shapes]).drop("text")
+    docs = W.documents(spark, sf_dir, *kept)
+    return W.variants(docs, "shape", [*texts, F.lit(None).cast("string"), *shapes]).drop("text")
 
 
 _BLANKS = """blanks AS (
@@ -70,10 +70,7 @@ t AS (SELECT product_id, variant, shape, CASE WHEN variant % 2 = 0 THEN source E
 SELECT product_id, variant, coalesce(nullif({_strip_sql('shape')}, ''), nullif({_strip_sql('title')}, '')) AS description
 FROM t""")
 def g2(spark, sf_dir):
-    sources = W.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), "source")
-    titled = _blanks(spark, sf_dir).join(sources, "product_id").withColumn(
-        "title", F.when(F.col("variant") % 2 == 0, F.col("source"))
-    )
+    titled = _blanks(spark, sf_dir, "source").withColumn("title", F.when(F.col("variant") % 2 == 0, F.col("source")))
     return titled.select(
         "product_id", _long("variant"), T.description_or_title(F.col("shape"), F.col("title")).alias("description")
     )

@@ -33,9 +33,9 @@ PRODUCTS = """products AS (
   FROM part)"""
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(product_id, text) of all documents, spread over the cores."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), "text")
+def documents(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """(product_id, text, …) of all documents; a small file is spread over the cores."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), "text", *kept)
     return spread(docs, "product_id")
 
 
