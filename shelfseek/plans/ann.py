@@ -1,18 +1,20 @@
 """Approximate search: vectors grouped into cells, each query looks into its nearest cells only.
 
-The vector table is written partitioned by cell, so a search reads only the probed folders. Vectors are
-never shuffled by cell for a search: a cell with very many vectors is many files read by many tasks.
+The vector table is written partitioned by cell, next to the cells' centres, so that a later session can open
+it again. A search reads only the probed folders. Vectors are never shuffled by cell for a search: a cell with
+very many vectors is many files read by many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfseek.functions import vectors as V
@@ -21,63 +23,87 @@ from shelfseek.workspace import new_path
 
 #: Share of the cells that a query looks into, if it does not say how many.
 PROBED_SHARE = 1 / 8
+# Similarities to centres are compared at this resolution; ties go to the smaller cell.
+_DECIMALS = 9
 
 
-def _features(vectors: DataFrame, dim: int) -> DataFrame:
-    usable = vectors.where(V.is_valid(F.col("embedding"), dim))
-    return usable.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+@dataclass(frozen=True)
+class CellIndex:
+    """A written index: where it is, and the centres, one row per cell."""
 
+    path: str
+    centres: np.ndarray
 
-def train_cells(vectors: DataFrame, dim: int, cells: int | None = None, seed: int = 7) -> KMeansModel:
+
+def _usable(vectors: DataFrame, dim: int) -> DataFrame:
+    return vectors.where(V.is_valid(F.col("embedding"), dim))
+
+
+def train_centres(vectors: DataFrame, dim: int, cells: int | None = None, seed: int = 7) -> np.ndarray:
     """Cell centres by k-means with the cosine measure, over all usable vectors.
 
     There are as many cells as the square root of the number of vectors, unless ``cells`` says otherwise:
     then finding cells and looking into one of them cost the same.
     """
-    features = _features(vectors, dim).select("features")
-    number = cells or max(1, round(vectors.count() ** 0.5))
+    usable = _usable(vectors, dim)
+    features = usable.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    number = cells or round(vectors.count() ** 0.5)
     trainer = KMeans(k=max(2, number), seed=seed, distanceMeasure="cosine", maxIter=10)
-    return trainer.fit(features)
+    return np.array(trainer.fit(features).clusterCenters())
 
 
-def write_cells(vectors: DataFrame, model: KMeansModel, dim: int) -> str:
-    """Write the vectors into one folder per cell; returns the path.
-
-    The rebalance hint lets Spark split a large cell over several writers and merge small ones.
-    """
-    placed = model.setPredictionCol("cell").transform(_features(vectors, dim)).drop("features")
-    path = new_path(vectors.sparkSession, "cells")
-    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
-    return path
+def _units(rows: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(lengths == 0, 1.0, lengths)
 
 
-def _cells_by_similarity(embedding: Column, model: KMeansModel, probes: int) -> Column:
-    """The numbers of the ``probes`` most similar cells, nearest first. The centres are sent out once."""
-    centres = np.array([centre for centre in model.clusterCenters()])
-    lengths = np.linalg.norm(centres, axis=1, keepdims=True)
-    units = centres / np.where(lengths == 0, 1.0, lengths)
+def nearest_cells(embedding: Column, centres: np.ndarray, number: int) -> Column:
+    """The ``number`` cells whose centres are most similar, nearest first; the centres are sent out once."""
+    units = _units(centres)
 
     @F.pandas_udf("array<int>")
-    def nearest_cells(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cells(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in vectors:
-            likeness = np.stack(series.to_numpy()).astype(float) @ units.T if len(series) else np.empty((0, 1))
-            yield pd.Series(list(np.argsort(-likeness, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+            if series.empty:
+                yield pd.Series([], dtype=object)
+                continue
+            likeness = np.round(_units(np.stack(series.to_numpy()).astype(float)) @ units.T, _DECIMALS)
+            order = np.argsort(-likeness, axis=1, kind="stable")[:, :number]
+            yield pd.Series(list(order.astype(np.int32)))
+
+    return cells(embedding)
+
+
+def write_cells(vectors: DataFrame, centres: np.ndarray, dim: int) -> CellIndex:
+    """Write the usable vectors into one folder per cell, and the centres.
+
+    The rebalance hint lets Spark split a large cell over several writers and merge small ones.
+    """
+    spark = vectors.sparkSession
+    path = new_path(spark, "cells")
+    own = nearest_cells(F.col("embedding"), centres, 1)[0]
+    placed = _usable(vectors, dim).withColumn("cell", own)
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+    rows = [(cell, centre.tolist()) for cell, centre in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>").write.parquet(f"{path}/centres")
+    return CellIndex(path, centres)
+
 
-    return nearest_cells(embedding)
+def open_cells(spark: SparkSession, path: str) -> CellIndex:
+    """An index that was written before."""
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    return CellIndex(path, np.array([row["centre"] for row in rows]))
 
 
-def search_cells(
-    path: str, queries: DataFrame, model: KMeansModel, dim: int, probes: int | None = None
-) -> DataFrame:
+def search_cells(index: CellIndex, queries: DataFrame, dim: int, probes: int | None = None) -> DataFrame:
     """The k most similar vectors among each query's ``probes`` nearest cells; other cells are not read.
 
     A task multiplies the rows of a cell with the queries that probe it, and with no others.
     """
-    cells = len(model.clusterCenters())
-    wanted_cells = min(cells, probes or max(1, round(cells * PROBED_SHARE)))
-    usable = queries.where(V.is_valid(F.col("embedding"), dim))
-    probed = usable.withColumn("cells", _cells_by_similarity(F.col("embedding"), model, wanted_cells))
+    cells = len(index.centres)
+    number = min(cells, probes or max(1, round(cells * PROBED_SHARE)))
+    probed = _usable(queries, dim).withColumn("cells", nearest_cells(F.col("embedding"), index.centres, number))
     # at most as many numbers as there are cells
     wanted = [row[0] for row in probed.select(F.explode("cells")).distinct().collect()]
-    vectors = queries.sparkSession.read.parquet(path).where(F.col("cell").isin(wanted))
+    vectors = queries.sparkSession.read.parquet(f"{index.path}/vectors").where(F.col("cell").isin(wanted))
     return nearest(vectors, probed, dim, COSINE)

@@ -196,10 +196,11 @@ def test_cells_recall(spark):
     rows = [(i, i, [float(x) for x in centres[i % 6] + 0.3 * rng.normal(size=DIM)]) for i in range(900)]
     queries = [(i, 10, [float(x) for x in centres[i % 6] + 0.3 * rng.normal(size=DIM)]) for i in range(12)]
     vectors, asked = _table(spark, rows, VECTORS), _table(spark, queries, QUERIES)
-    cells = ann.train_cells(vectors, DIM, cells=6)
-    path = ann.write_cells(vectors, cells, DIM)
+    written = ann.write_cells(vectors, ann.train_centres(vectors, DIM, cells=6), DIM)
+    index = ann.open_cells(spark, written.path)
+    assert (index.centres == written.centres).all()
     exact = {(r["query_id"], r["chunk_id"]) for r in nearest(vectors, asked, DIM, COSINE).collect()}
-    some = {(r["query_id"], r["chunk_id"]) for r in ann.search_cells(path, asked, cells, DIM, probes=2).collect()}
-    every = {(r["query_id"], r["chunk_id"]) for r in ann.search_cells(path, asked, cells, DIM, probes=6).collect()}
+    some = {(r["query_id"], r["chunk_id"]) for r in ann.search_cells(index, asked, DIM, probes=2).collect()}
+    every = {(r["query_id"], r["chunk_id"]) for r in ann.search_cells(index, asked, DIM, probes=6).collect()}
     assert every == exact
     assert len(some & exact) >= 0.8 * len(exact)
