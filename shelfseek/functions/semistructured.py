@@ -22,6 +22,7 @@ def _json(c: Column) -> Column:
 
 def first_image(c: Column) -> Column:
     """The first usable link among the large, high-resolution and thumbnail lists."""
+    # The signs of a printed array, and the sizes in the order in which they are tried.
     text = F.replace(c, F.lit("'"), F.lit('"'))
     text = F.replace(text, F.lit("array(["), F.lit("["))
     text = F.regexp_replace(text, r"\],[\t-\r\x{FEFF}\p{Z}]*dtype=object\)", "]")
@@ -41,6 +42,7 @@ def details_map(c: Column) -> Column:
 
     ``True``, ``False`` and ``None`` are replaced wherever they occur, also inside a value.
     """
+    # How a printed dictionary differs from JSON.
     text = c
     for printed, json in (("'", '"'), ("True", "true"), ("False", "false"), ("None", "null")):
         text = F.replace(text, F.lit(printed), F.lit(json))

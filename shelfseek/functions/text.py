@@ -100,6 +100,7 @@ def word_tokens(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Brackets, quotes and written-out ``\\n \\r \\t`` go; tokens end up one space apart."""
+    # The signs and written-out breaks that go.
     bare = _replace_all(c, (r"[\[\]{}'\"]", " "), (r"\\[nrt]", " "))
     return F.coalesce(spaced_tokens(bare), F.lit(""))
 
@@ -107,6 +108,7 @@ def clean_text(c: Column) -> Column:
 def clean_display_text(c: Column) -> Column:
     """What a product page shows for a printed list of strings."""
     space = JAVASCRIPT_SPACE_CLASS
+    # What the page's clean-up replaces, in its order.
     shown = _replace_all(
         c,
         (r"[\[\]]", ""),

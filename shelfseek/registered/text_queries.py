@@ -96,7 +96,9 @@ _NUMBER_TEXTS = f"""raws AS (
   FROM (SELECT p_partkey AS product_id, printf('%.2f', p_retailprice) AS s FROM part)),
 trimmed AS (SELECT *, {_strip_sql('raw')} AS x FROM raws),
 numbers AS (
-  SELECT *, CASE WHEN regexp_matches(x, '{N.NUMBER}') THEN try_cast(replace(x, '_', '') AS DOUBLE) END AS y FROM trimmed),
+  SELECT *, CASE WHEN regexp_matches(x, '^[-+]?(\\d|[.]\\d)') AND regexp_full_match(x, '[-+0-9._eE]+')
+      AND NOT regexp_matches(x, '(^|[^0-9])_|_([^0-9]|$)')
+    THEN try_cast(replace(x, '_', '') AS DOUBLE) END AS y FROM trimmed),
 parsed AS (SELECT *, CASE WHEN isinf(y) OR isnan(y) OR y = 0 THEN NULL ELSE y END AS z FROM numbers)"""
 
 
