@@ -95,7 +95,9 @@ def open_cells(spark: SparkSession, path: str) -> CellIndex:
     return CellIndex(path, np.array([row["centre"] for row in rows]))
 
 
-def search_cells(index: CellIndex, queries: DataFrame, dim: int, probes: int | None = None) -> DataFrame:
+def search_cells(
+    index: CellIndex, queries: DataFrame, dim: int, probes: int | None = None, measure: str = COSINE
+) -> DataFrame:
     """The k most similar vectors among each query's ``probes`` nearest cells; other cells are not read.
 
     A task multiplies the rows of a cell with the queries that probe it, and with no others.
@@ -106,4 +108,4 @@ def search_cells(index: CellIndex, queries: DataFrame, dim: int, probes: int | N
     # at most as many numbers as there are cells
     wanted = [row[0] for row in probed.select(F.explode("cells")).distinct().collect()]
     vectors = queries.sparkSession.read.parquet(f"{index.path}/vectors").where(F.col("cell").isin(wanted))
-    return nearest(vectors, probed, dim, COSINE)
+    return nearest(vectors, probed, dim, measure)

@@ -14,6 +14,7 @@ from shelfseek.operators.catalog import split_requests
 from shelfseek.operators.embedding import TextEmbedder
 from shelfseek.operators.reports import matched_products, query_volume
 from shelfseek.operators.upsert import load_time
+from shelfseek.plans.ann import CellIndex
 from shelfseek.plans.search import search
 
 
@@ -38,13 +39,16 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def stream_search(
-    stream: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, out: str, checkpoint: str,
-    embedder: TextEmbedder | None = None,
+    stream: DataFrame, vectors: DataFrame | CellIndex, products: DataFrame, dim: int, out: str, checkpoint: str,
+    embedder: TextEmbedder | None = None, probes: int | None = None,
 ) -> StreamingQuery:
-    """Append the results of every request to ``out``."""
+    """Append the results of every request to ``out``.
+
+    With an index of cells a micro-batch reads the cells that its requests probe, not all vectors.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _replace_batch(search(batch, vectors, products, dim, embedder=embedder), out, batch_id)
+        _replace_batch(search(batch, vectors, products, dim, embedder=embedder, probes=probes), out, batch_id)
 
     return _per_batch(stream, checkpoint, write)
 
