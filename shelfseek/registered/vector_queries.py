@@ -35,7 +35,7 @@ def _hits(spark, sf_dir, k: int, **options) -> DataFrame:
 # --- chunks -----------------------------------------------------------------------------------------
 
 
-@query("t1_recursive_chunks")
+@query("t1_recursive_chunks", f"WITH RECURSIVE {W.character_chunks_sql()} SELECT * FROM chunks")
 def t1(spark, sf_dir):
     return K.character_chunks(W.documents(spark, sf_dir)).select("product_id", "chunk_idx", "chunk_text")
 
@@ -334,7 +334,9 @@ def v8_chunks(spark, sf_dir):
     )
 
 
-@query("v10_build_vector_table")
+@query("v10_build_vector_table", f"""WITH RECURSIVE {W.character_chunks_sql()}
+SELECT product_id * 16777216 + chunk_idx AS chunk_id, product_id, chunk_idx, chunk_text,
+       CASE WHEN regexp_matches(chunk_text, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks""")
 def v10(spark, sf_dir):
     built = chunk_vectors(W.documents(spark, sf_dir), W.DIM)
     return built.select(

@@ -121,3 +121,52 @@ walk AS (
   FROM walk w JOIN sized z ON z.product_id = w.product_id AND z.i = w.i + 1),
 chunks AS (
   SELECT product_id, chunk_idx, string_agg(s, ' ' ORDER BY i) AS chunk_text FROM walk GROUP BY ALL)"""
+
+
+def character_chunks_sql() -> str:
+    """``chunks(product_id, chunk_idx, chunk_text)``: character windows of documents. Needs RECURSIVE.
+
+    Covers what the documents hold: lines, and words shorter than a window; no empty lines. ``full_at`` says
+    where a window that starts at s overflows, ``again`` from where the next one may start.
+    """
+    return f"""lines AS (
+  SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 512)),
+cut AS (
+  SELECT doc_id, i, CASE WHEN i > 1 THEN chr(10) || line ELSE line END AS line FROM lines),
+runs AS (
+  SELECT *, 2 * count_if(length(line) >= 512) OVER (PARTITION BY doc_id ORDER BY i) + (length(line) < 512)::INT AS seg
+  FROM cut WHERE line <> ''),
+pieces AS (
+  SELECT doc_id, seg, i, 0 AS w, line AS piece FROM runs WHERE seg % 2 = 1
+  UNION ALL
+  SELECT doc_id, seg, i, w, CASE WHEN w > 1 THEN ' ' || word ELSE word END FROM (
+    SELECT doc_id, seg, i, unnest(a) AS word, generate_subscripts(a, 1) AS w
+    FROM (SELECT doc_id, seg, i, string_split(line, ' ') AS a FROM runs WHERE seg % 2 = 0))
+  WHERE w > 1 OR word <> ''),
+numbered AS (
+  SELECT doc_id, seg, piece, length(piece) AS n, row_number() OVER (PARTITION BY doc_id, seg ORDER BY i, w) AS j,
+         sum(length(piece)) OVER (PARTITION BY doc_id, seg ORDER BY i, w) AS upto FROM pieces),
+lists AS (SELECT doc_id, seg, list(piece ORDER BY j) AS a, max(j) AS last FROM numbered GROUP BY ALL),
+full_at AS (
+  SELECT s.doc_id, s.seg, s.j AS s, min(e.j) AS e
+  FROM numbered s JOIN numbered e ON e.doc_id = s.doc_id AND e.seg = s.seg AND e.j > s.j AND e.j <= s.j + 513
+    AND e.upto - s.upto + s.n > 512 GROUP BY ALL),
+again AS (
+  SELECT e.doc_id, e.seg, e.j AS e, coalesce(min(s.j), e.j) AS back
+  FROM numbered e LEFT JOIN numbered s ON e.doc_id = s.doc_id AND e.seg = s.seg AND s.j < e.j AND s.j >= e.j - 51
+    AND e.upto - e.n - s.upto + s.n <= least(50, 512 - e.n) GROUP BY e.doc_id, e.seg, e.j),
+jumps AS (SELECT doc_id, seg, s, e, greatest(s, back) AS next FROM full_at JOIN again USING (doc_id, seg, e)),
+walk AS (
+  SELECT doc_id, seg, 1::BIGINT AS s FROM lists
+  UNION ALL
+  SELECT w.doc_id, w.seg, next FROM walk w JOIN jumps j ON j.doc_id = w.doc_id AND j.seg = w.seg AND j.s = w.s),
+texts AS (
+  SELECT w.doc_id, w.seg, w.s, array_to_string(list_slice(a, w.s, coalesce(j.e - 1, last)), '') AS chunk
+  FROM walk w JOIN lists l USING (doc_id, seg) LEFT JOIN jumps j ON j.doc_id = w.doc_id AND j.seg = w.seg AND j.s = w.s
+  UNION ALL
+  SELECT doc_id, 0, 0, text FROM documents WHERE length(text) <= 512),
+stripped AS (SELECT doc_id, seg, s, regexp_replace(chunk, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS chunk_text FROM texts),
+chunks AS (
+  SELECT doc_id AS product_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg, s) - 1)::INT AS chunk_idx, chunk_text
+  FROM stripped WHERE chunk_text <> '')"""
