@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these cannot hold a known sentence.
+#: The SQL looks only into texts that hold one of these. The operator looks into every text: several
+#: known sentences hold none of them, and a phrase may be wrapped over two lines.
 SIGNAL_WORDS = ["licen", "copyright", "spdx-", "warrant", "permission", "redistribut", "public domain"]
 
 #: Identifier, pattern of the normalised sentence, and whether its first group is a version.
@@ -113,13 +114,6 @@ def _named(before: str, after: str):
     return lambda version: F.concat(F.lit(before), F.upper(F.translate(version, " ", "-")), F.lit(after))
 
 
-def _signals(lowered: Column) -> Column:
-    found = F.lit(False)
-    for word in SIGNAL_WORDS:
-        found = found | lowered.contains(word)
-    return found
-
-
 def recognise(docs: DataFrame) -> DataFrame:
     """(doc_id, licences, sentence_ids, n_sentences, n_unmatched) for every row of ``docs`` (doc_id, text).
 
@@ -130,11 +124,8 @@ def recognise(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    likely = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.when(_signals(F.lower(text)), text).alias("t")
-    )
-    marks = F.filter(F.transform(sentences(F.col("t")), sentence_mark), lambda m: m.isNotNull())
-    rows = likely.select("doc_id", F.coalesce(marks, none).alias("marks"))
+    marks = F.filter(F.transform(sentences(text), sentence_mark), lambda m: m.isNotNull())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), marks.alias("marks"))
     state = rows.select("doc_id", "marks", F.array_join("marks", "").alias("rest"), none.alias("names"))
     for licence, ids in RULES:
         pattern = rule_pattern(ids)
@@ -160,7 +151,7 @@ def _quoted(text: str) -> str:
 
 
 def recognise_sql(source: str = "documents") -> str:
-    """The same rows as DuckDB SQL."""
+    """The same as DuckDB SQL, but only for texts with one of ``SIGNAL_WORDS``; others have no sentence there."""
     signals = " OR ".join(f"contains(lower(text), {_quoted(word)})" for word in SIGNAL_WORDS)
     cases = " ".join(
         f"WHEN regexp_matches(s, {_quoted(pattern)}) THEN '<{name} ' || "

@@ -426,6 +426,34 @@ def test_licences_of_odd_rows(documents, odd_rows):
     assert (unmatched.licences, unmatched.n_sentences, unmatched.n_unmatched) == ("GPL", 2, 1)
 
 
+#: One text per known sentence, which holds nothing else.
+ALONE = {
+    "spdx": "SPDX-License-Identifier: MIT", "mit-grant": "Permission is hereby granted, free of charge, to any\nperson obtaining a copy",
+    "mit-notice": "The above copyright notice and this permission  notice shall be included in all copies",
+    "isc-grant": "Permission to use, copy, modify, and distribute this software\nfor any purpose", "as-is": "The software is provided 'as is'",
+    "no-liability": "In no event shall\nwe be liable for any claim", "bsd-redistribution": "Redistribution and use in\nsource and binary forms",
+    "bsd-source": "Redistributions of source code must\nretain the above copyright notice",
+    "bsd-binary": "Redistributions in binary form must\nreproduce the above copyright notice",
+    "bsd-endorse": "No name may be used to endorse or\npromote products derived from it",
+    "gpl-free": "free software: you can redistribute it and/or modify it under the terms of the GNU  General Public License",
+    "gpl-no-warranty": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "gpl-copy": "You should have received a copy of the GNU  General Public License", "agpl-ref": "GNU  Affero General Public License v3",
+    "lgpl-ref": "GNU  Lesser General Public License 2.1", "gpl-ref": "GNU  General Public License, version 2",
+    "gpl-unversioned": "GNU  General Public License", "apache-compliance": "you may not use this file except in\ncompliance with the License",
+    "apache-copy": "You may obtain a copy of\nthe License at", "apache-basis": 'distributed under the License is distributed on an "AS IS" BASIS',
+    "apache-ref": "Apache  License 2.0", "mpl-ref": "Mozilla  Public License, v. 2.0", "cc-name": "Creative Commons Attribution 4.0 International",
+    "cc-ref": "Text is available under CC BY-SA 4.0.", "mit-ref": "the MIT\nlicense", "bsd-ref": "3-clause  BSD license",
+    "isc-ref": "the ISC\nlicense", "unlicense": "released into the public\ndomain", "copyright": "Copyright  2020 X",
+}
+
+
+def test_every_known_sentence_is_found_alone_in_a_text(documents):
+    assert list(ALONE) == [name for name, _, _ in licences.SENTENCES]
+    found = licences.recognise(documents(list(enumerate(ALONE.values())))).orderBy("doc_id").collect()
+    assert [r.sentence_ids.split("@")[0] for r in found] == list(ALONE)
+    assert [r.licences for r in found if r.doc_id in (22, 23, 27)] == ["CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+
+
 def test_licences_run_without_python(documents):
     plan = licences.recognise(documents([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
