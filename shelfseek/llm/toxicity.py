@@ -1,8 +1,8 @@
 """Toxicity of documents written through a noisy channel.
 
-Writers hide words by leetspeak, by spacing letters out and by repeating them. A token that may have gone
-through this channel becomes a lattice: each place holds the letters it may stand for, with the channel's
-cost, or stays as it is. The path that a character trigram model finds most likely (Viterbi) is the
+Writers hide words by leetspeak, by spacing letters out and by repeating them. A token, or a run of spaced
+characters, that may have gone through this channel becomes a lattice: each place holds the letters it may stand
+for, with the channel's cost, or stays as it is; a gap of a run joins letters or parts words. The path that a character trigram model finds most likely (Viterbi) is the
 restored token. Tokens without such places have a single path and are their own restoration.
 
 The character model counts all texts. Restored words are then scored against a lexicon of words and word
@@ -34,6 +34,8 @@ LEET = {
 #: What the channel does: a letter is written as a sign, a sign is meant, a sign is noise (rarely so if it
 #: stands for a letter), a repeated sign stands for one, for two.
 SUBSTITUTED, KEPT, DROPPED, NOISE, SINGLE, DOUBLE = np.log([0.6, 0.1, 0.02, 0.2, 0.6, 0.4]).tolist()
+#: What a gap between spaced characters does: it joins them, it parts two words; a gap wider than others does either.
+JOINED, PARTED, EITHER = np.log([0.9, 0.1, 0.5]).tolist()
 #: Most labelled rows that the lexicon and the logistic model are fitted on, taken by hash of doc_id.
 FIT_ROWS = 30_000
 #: Most entries of the lexicon; the strongest stay.
@@ -52,10 +54,15 @@ _SIGN_TAIL = re.compile(r"\${2,}$")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUNS = re.compile(r"(.)\1*", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"[ \n]\w(?:[ .\-_*]\w){2,}(?!\w)")
-_MAYBE_SPACED = re.compile(r" \w[ .\-_*]\w[ .\-_*]\w")
-_MAYBE_SPACED_LINE = re.compile(r"\n\w[ .\-_*]\w[ .\-_*]\w")
-_GAPS = re.compile(r"[\s.\-_*]")
+#: A run of at least three single characters: letters, digits or signs that may stand for letters, with a gap of
+#: white space or signs between each two. A line break ends it, and so does a token of more characters.
+_SPACE = r"[^\S\n]"
+_ONE = r"(?:[^\W_]|[@$!|+(*#&])"
+_GAP = rf"(?:{_SPACE}+(?:[.\-_]{_SPACE}*)?|[.\-_*]{_SPACE}*)"
+_SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_][^\w\s]){_ONE}(?:{_GAP}{_ONE}){{2,}}(?![^\W_])")
+_MAYBE_SPACED = re.compile(r"[ \t.\-_*\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+                           rf"{_ONE}{_GAP}{_ONE}(?![^\W_])")
+_PIECES = re.compile(rf"({_ONE})({_GAP}|$)")
 
 
 # --- the character model --------------------------------------------------------------------------------
@@ -169,6 +176,26 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return places
 
 
+def _gap(gap: str, narrowest: int) -> list[tuple[str, float]]:
+    """A gap of a spaced run: nothing, a word break, or the vowels that a bare ``*`` hides."""
+    if len(gap) > narrowest:
+        return [("", EITHER), (" ", EITHER)]
+    hidden = SUBSTITUTED - np.log(len(LEET["*"]))
+    return [("", JOINED), (" ", PARTED), *((vowel, hidden) for vowel in LEET["*"] if gap[0] == "*")]
+
+
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """The places of a run of spaced characters: what every character may stand for, and what every gap does."""
+    pieces = _PIECES.findall(run)
+    narrowest = min(len(gap) for _, gap in pieces[:-1])
+    places = []
+    for sign, gap in pieces:
+        places += lattice(sign)
+        if gap:
+            places.append(_gap(gap, narrowest))
+    return places
+
+
 def _core(token: str) -> str:
     core = token.strip(_EDGES)
     return _SIGN_TAIL.sub("", core) if core[-1:] == "$" else core
@@ -185,12 +212,12 @@ class Decoder:
             found = self.known[sign] = int(_symbols(sign)[0]) if sign.isalpha() else 0
         return found
 
-    def decode(self, token: str) -> str:
-        """The most likely restored form of a lower-cased token (Viterbi; ties go to the smaller text)."""
-        states = {(0, 0): (0.0, "")}
-        for options in lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+    def _best(self, places: list[list[tuple[str, float]]]) -> str:
+        """The most likely path (Viterbi; ties go to the first option). Paths are linked back, so time is linear."""
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for options in places:
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, path) in states.items():
                 for letters, cost in options:
                     x, y, total = a, b, score + cost
                     for sign in letters:
@@ -199,12 +226,23 @@ class Decoder:
                             total += float(self.log_p[x, y, z])
                         x, y = y, z
                     old = after.get((x, y))
-                    new = (total, text + letters)
-                    if old is None or new[0] > old[0] or (new[0] == old[0] and new[1] < old[1]):
-                        after[x, y] = new
+                    if old is None or total > old[0]:
+                        after[x, y] = (total, (path, letters))
             states = after
-        ends = [(score + (float(self.log_p[a, b, 0]) if b else 0.0), text) for (a, b), (score, text) in states.items()]
-        return min(ends, key=lambda end: (-end[0], end[1]))[1]
+        ends = [(score + (float(self.log_p[a, b, 0]) if b else 0.0), path) for (a, b), (score, path) in states.items()]
+        path, parts = max(ends, key=lambda end: end[0])[1], []
+        while path:
+            path, letters = path
+            parts.append(letters)
+        return "".join(reversed(parts))
+
+    def decode(self, token: str) -> str:
+        """The most likely restored form of a lower-cased token."""
+        return self._best(lattice(token))
+
+    def decode_spaced(self, run: str) -> str:
+        """The most likely words of a lower-cased run of spaced characters; digits and signs alone stay as they are."""
+        return self._best(spaced_lattice(run)) if any(map(str.isalpha, run)) else run
 
     def restored(self, token: str) -> str:
         """A lower-cased token as it was meant: without signs at its ends, decoded where it is ambiguous."""
@@ -216,14 +254,14 @@ class Decoder:
         return self.decode(core)
 
     def spaced(self, text: str) -> list[str]:
-        """Restored forms of runs of single characters, as in "s t u p i d". ``text`` starts with a space."""
-        if not (_MAYBE_SPACED.search(text) or _MAYBE_SPACED_LINE.search(text)):
+        """The words of every run of single characters, as in "s t u p i d". ``text`` starts with a space."""
+        if not _MAYBE_SPACED.search(text):
             return []
-        return [self.restored(_GAPS.sub("", run)) for run in _SPACED.findall(text)]
+        return [self.decode_spaced(run) for run in _SPACED.findall(text)]
 
     def restore_text(self, text: str) -> str:
         """A whole text, lower-cased, with every token and every spaced word in its restored form."""
-        joined = _SPACED.sub(lambda run: " " + _GAPS.sub("", run.group(0)), f" {text.lower()}")
+        joined = _SPACED.sub(lambda run: self.decode_spaced(run.group(0)), f" {text.lower()}")
         return " ".join(filter(None, map(self.restored, joined.split())))
 
 
@@ -346,7 +384,7 @@ class Evidence:
         if len(self.plain) >= _REMEMBERED:
             self.plain.clear()
         runs = self.decoder.spaced(lowered)
-        weights += filter(None, map(self._weight, runs))
+        weights += filter(None, map(self._word, _LETTERS.findall(" ".join(runs))))
         weights.sort(reverse=True)
         top = (weights + [0.0, 0.0, 0.0])[:3]
         return [*top, float(np.log1p(len(weights))), float(np.log1p(len(tokens)))], len(runs) + changed

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -217,6 +218,27 @@ def test_spaced_words_are_restored(decoder):
     assert decoder.restore_text("You s t u p i d\nl o s e r , really") == "you stupid loser really"
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("you are a s t u p i d fool", "you are a stupid fool"), ("i d i o t s c u m", "idiot scum"), ("(s t u p i d)", "stupid"),
+     ("$ t u p 1 d", "stupid"), ("s  t  u  p  i  d", "stupid"), ("s\tt\tu\tp\ti\td", "stupid"),
+     ("s.t.u.p.i.d l-o-s-e-r", "stupid loser"), ("s_t*p_i_d", "stupid"), ("m o r o n   i d i o t", "moron idiot"), ("1 2 3 4", "1 2 3 4")],
+)
+def test_breaks_of_spaced_runs_are_decoded(written, meant):
+    counts = np.zeros(64**3, np.int64)
+    toxicity._count("you are a stupid fool and an idiot of scum; the moron is a loser  " * 30, counts)
+    decoder = toxicity.Decoder(toxicity.CharacterModel.of_counts(counts))
+    assert decoder.restore_text(written) == meant
+    words = {word for run in decoder.spaced(f" {written}") for word in run.split()}
+    assert words <= set(meant.split()) and (words & {"stupid", "idiot", "1"})
+
+
+def test_a_very_long_spaced_run(decoder):
+    start = time.time()
+    assert decoder.restore_text("l o s e r " * 40_000).startswith("loser loser")
+    assert time.time() - start < 30
+
+
 def test_the_path_is_the_best_of_all(decoder):
     def log_probability(path):
         a, b, total = 0, 0, 0.0
