@@ -34,6 +34,9 @@ LEET = {
 #: What the channel does: a letter is written as a sign, a sign is meant, a sign is noise (rarely so if it
 #: stands for a letter), a repeated sign stands for one, for two.
 SUBSTITUTED, KEPT, DROPPED, NOISE, SINGLE, DOUBLE = np.log([0.6, 0.1, 0.02, 0.2, 0.6, 0.4]).tolist()
+#: What signs at the ends of a token are besides letters: punctuation, or a noise tail of three and more. In a token
+#: without letters a digit or sign that means itself is one of ten.
+EDGE, TAIL, DIGIT = np.log([0.5, 0.9, 0.1]).tolist()
 #: What a gap between spaced characters does: it joins them, it parts two words; a gap wider than others does either.
 JOINED, PARTED, EITHER = np.log([0.9, 0.1, 0.5]).tolist()
 #: Most labelled rows that the lexicon and the logistic model are fitted on, taken by hash of doc_id.
@@ -48,8 +51,15 @@ _SYMBOLS = 64
 _REMEMBERED = 600_000
 _BLOCK = 1 << 18
 
-#: Signs that say nothing at the ends of a token.
+#: Signs that may stand for letters, and signs that say nothing at the ends of a token unless they do.
+_LEET_SIGNS = "".join(sign for sign in LEET if not sign.isdigit())
 _EDGES = "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~¡¿«»…–—“”„‘’"
+_MUTE_SIGNS = "".join(sign for sign in _EDGES if sign not in LEET)
+_MUTE = re.escape(_MUTE_SIGNS)
+_END_SIGNS = _MUTE_SIGNS + _LEET_SIGNS
+_ENDS = re.escape(_END_SIGNS)
+_BEFORE = re.compile(rf"[{_ENDS}]*[{_MUTE}]")
+_AFTER = re.compile(rf"[{_MUTE}][{_ENDS}]*\Z")
 _SIGN_TAIL = re.compile(r"\${2,}$")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUNS = re.compile(r"(.)\1*", re.S)
@@ -153,27 +163,31 @@ class CharacterModel:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For every run of one character: what it may stand for, with the channel's log probability.
 
-    Emissions are letters, a character that stays and breaks the word, or nothing.
+    Emissions are letters, a character that stays and breaks the word, or nothing. Signs at the ends are noise or
+    letters; in a token without letters, digits that stay are those of a number.
     """
-    places = []
-    for run in _RUNS.finditer(token):
-        sign, length = run.group(1), len(run.group(0))
-        if sign.isalpha():
-            if length < 3:
-                places.append([(sign * length, 0.0)])
-            else:
-                places.append([(sign, SINGLE), (sign * 2, DOUBLE)])
-            continue
-        options = [(run.group(0), KEPT)]
-        for letter in LEET.get(sign, ""):
-            share = SUBSTITUTED - np.log(len(LEET[sign]))
-            options.append((letter, share + (0.0 if length == 1 else SINGLE)))
-            if length > 1:
-                options.append((letter * 2, share + DOUBLE))
-        if not sign.isalnum():
-            options.append(("", DROPPED if sign in LEET else NOISE))
-        places.append(options)
-    return places
+    runs = [(run.start(), run.end(), run.group(1)) for run in _RUNS.finditer(token)]
+    number = len(runs) > 1 and not any(map(str.isalpha, token))
+    begin, end = len(token) - len(token.lstrip(_LEET_SIGNS)), len(token.rstrip(_LEET_SIGNS))
+    return [_place(sign, to - at, at < begin or to > end, number) for at, to, sign in runs]
+
+
+def _place(sign: str, length: int, edge: bool = False, number: bool = False) -> list[tuple[str, float]]:
+    """The options of ``length`` times one character: at an end of its token, in a token without letters."""
+    if sign.isalpha():
+        return [(sign * length, 0.0)] if length < 3 else [(sign, SINGLE), (sign * 2, DOUBLE)]
+    if edge:
+        options = [("", TAIL if length > 2 else length * (DIGIT if number else EDGE))]
+    else:
+        options = [(sign * length, length * DIGIT if number else KEPT)]
+    for letter in LEET.get(sign, ""):
+        share = SUBSTITUTED - np.log(len(LEET[sign]))
+        options.append((letter, share + (0.0 if length == 1 else SINGLE)))
+        if length > 1:
+            options.append((letter * 2, share + DOUBLE))
+    if not (edge or sign.isalnum()):
+        options.append(("", DROPPED if sign in LEET else NOISE))
+    return options
 
 
 def _gap(gap: str, narrowest: int) -> list[tuple[str, float]]:
@@ -190,7 +204,7 @@ def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
     narrowest = min(len(gap) for _, gap in pieces[:-1])
     places = []
     for sign, gap in pieces:
-        places += lattice(sign)
+        places.append(_place(sign, 1))
         if gap:
             places.append(_gap(gap, narrowest))
     return places
@@ -201,6 +215,14 @@ def _core(token: str) -> str:
     return _SIGN_TAIL.sub("", core) if core[-1:] == "$" else core
 
 
+def _written(token: str) -> str:
+    """A token between the mute signs at its ends and what lies beyond them; the signs left may stand for letters."""
+    begin = _BEFORE.match(token)
+    inner = token[begin.end() :] if begin else token
+    end = _AFTER.search(inner, len(inner.rstrip(_END_SIGNS)))
+    return inner[: end.start()] if end else inner
+
+
 class Decoder:
     def __init__(self, model: CharacterModel):
         self.log_p = model.log_p
@@ -245,13 +267,14 @@ class Decoder:
         return self._best(spaced_lattice(run)) if any(map(str.isalpha, run)) else run
 
     def restored(self, token: str) -> str:
-        """A lower-cased token as it was meant: without signs at its ends, decoded where it is ambiguous."""
-        core = _core(token)
+        """A lower-cased token as it was meant, decoded where it is ambiguous; its ends may be noise or letters."""
+        core = token.strip(_MUTE_SIGNS)
+        if not core.isalpha():
+            core = _written(token)
         if core.isalpha() and not _TRIPLE.search(core):
             return core
-        if not any(map(str.isalpha, core)):
-            return core
-        return self.decode(core)
+        meant = self.decode(core)
+        return meant if any(map(str.isalpha, meant)) else _core(token)
 
     def spaced(self, text: str) -> list[str]:
         """The words of every run of single characters, as in "s t u p i d". ``text`` starts with a space."""

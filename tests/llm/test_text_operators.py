@@ -233,6 +233,18 @@ def test_breaks_of_spaced_runs_are_decoded(written, meant):
     assert words <= set(meant.split()) and (words & {"stupid", "idiot", "1"})
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("!diot", "idiot"), ("(lown", "clown"), ('"(lown,"', "clown"), ("a$$", "ass"), ("a$$.", "ass"), ("455", "ass"), ("@$$", "ass"), ("|d!ot", "idiot"),
+     ("the***", "the"), ("the###", "the"), ("the$$$", "the"), ("thing!!", "thing"), ("the.***", "the"), ("(the", "the"), ("fool!", "fool"),
+     ("4711", "4711"), ("2.0.", "2.0"), ("***", ""), ("1999", "1999"), ("", "")],
+)
+def test_signs_at_the_ends_are_decoded(written, meant):
+    counts = np.zeros(64**3, np.int64)
+    toxicity._count("an idiot and a clown, the thing is an ass of the fool ass ass  " * 30, counts)
+    assert toxicity.Decoder(toxicity.CharacterModel.of_counts(counts)).restored(written) == meant
+
+
 def test_a_very_long_spaced_run(decoder):
     start = time.time()
     assert decoder.restore_text("l o s e r " * 40_000).startswith("loser loser")
