@@ -1,7 +1,7 @@
 """Licence recognition by sentences, with DataFrame functions only.
 
-A text is cut into sentences, every sentence is normalised, and a table of known sentences maps it to an
-identifier (with the version it names, where it names one). The identifiers of a text, in order, are then
+A text is cut into sentences, every sentence is normalised, and a table of known sentences maps it to all
+identifiers it holds, in order of place (with the versions it names, where it names some). The identifiers of a text, in order, are then
 matched against licence rules: sequences of identifiers, tried in order, longest first. What a rule has matched
 is taken out before the next rule is tried, and nothing matches across it.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SIGNAL_WORDS = ["licen", "copyright", "spdx-", "warrant", "permission", "redistribut", "public domain"]
 
 #: Identifier, pattern of the normalised sentence, and whether its first group is a version.
-#: The first pattern that is found names the sentence.
+#: The first pattern that is found at a place names it. The SQL takes only the first of the list from a sentence.
 SENTENCES = [
     ("spdx", r"^spdx-license-identifier: ([a-z0-9.+-]+)", True),
     ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy", False),
@@ -49,6 +49,17 @@ SENTENCES = [
     ("copyright", r"^copyright (?:\(c\) )?[0-9]{4}", False),
 ]
 
+_ID = r"\(*[a-z0-9.+-]*[a-z0-9+]\)*"
+#: How the operator looks for some of them. An expression of identifiers is taken whole, wherever it
+#: stands; what lies between the two ends of a sentence is left to be searched.
+WIDER = {
+    "spdx": rf"\bspdx-license-identifier: ({_ID}(?: (?:or|and|with) {_ID})*)",
+    "mit-notice": r"the above copyright notice and this permission notice (?=(?:\(.*\) )?shall be included in all copies)",
+    "no-liability": r"in no event shall (?=.* be liable for any)",
+}
+#: Further versions behind the first, as in "version 2 or version 3".
+_MORE = r"(?:,? (?:(?:or|and/or) (?:version |v)?[0-9](?:\.[0-9])?|and (?:(?:version |v)[0-9](?:\.[0-9])?|[0-9]\.[0-9]))(?![0-9a-z]))*"
+
 #: Licence and its sentences, in the order in which the rules are tried. ``*`` stands for the
 #: version of the sentence and is copied into the name.
 RULES = [
@@ -91,23 +102,56 @@ def sentences(text: Column) -> Column:
     """The normalised sentences of a text, in order.
 
     A sentence ends at . ! ? or ; before white space or the end, at an empty line, and where the next line
-    starts with a capital or a digit. Normalising lower-cases, keeps letters, digits and a few signs, and
-    makes one space of the rest.
+    starts with a capital or a digit. Comment signs at the start of a line go first. Normalising lower-cases,
+    keeps letters, digits and a few signs, makes one space of the rest, and drops signs at the start.
     """
-    ended = F.regexp_replace(text, r"[.!?;](\s+|$)", BREAK)
+    bare = F.regexp_replace(text, r"(?m)^[ \t]*(?:/{2,}!?|/\*+|\*+/?|#+|;+|--+|%+|<!--)(?=[ \t]|$)[ \t]*", "")
+    ended = F.regexp_replace(bare, r"[.!?;](\s+|$)", BREAK)
     broken = F.regexp_replace(ended, r"\n\s*(\n|[A-Z0-9])", BREAK + "$1")
     parts = F.split(broken, BREAK)
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9.,:;()+/-]+", " ")))
+    plain = F.transform(
+        parts,
+        lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.,:;()+/-]+", " "), "^[^a-z0-9]+", "")),
+    )
     return F.filter(plain, lambda s: s != "")
 
 
-def sentence_mark(sentence: Column) -> Column:
-    """``<identifier version>`` of a known normalised sentence, else null."""
-    mark = F.lit(None).cast("string")
+def _wide(name: str, pattern: str) -> str:
+    return WIDER.get(name, pattern + _MORE if name.endswith("-ref") and "version" in pattern else pattern)
+
+
+def sentence_marks(sentence: Column) -> Column:
+    """``<identifier version>`` of everything known in a normalised sentence, in order of place.
+
+    One pattern finds all places, none of which overlap; at one place the first of ``SENTENCES`` holds. What it
+    found is then named, once for every version.
+    """
+    anything = "|".join(f"(?:{_wide(name, pattern)})" for name, pattern, _ in SENTENCES)
+    places = F.regexp_extract_all(sentence, F.lit(anything), F.lit(0))
+    return F.flatten(F.transform(places, _marks_of_place))
+
+
+def _mark(name: str):
+    return lambda version: F.concat(F.lit(f"<{name} "), version, F.lit(">"))
+
+
+def _marks_of_place(place: Column) -> Column:
+    marks = F.array().cast("array<string>")
     for name, pattern, versioned in reversed(SENTENCES):
-        version = F.regexp_extract(sentence, pattern, 1) if versioned else F.lit("")
-        mark = F.when(sentence.rlike(pattern), F.concat(F.lit(f"<{name} "), version, F.lit(">"))).otherwise(mark)
-    return mark
+        wide = _wide(name, pattern)
+        versions = F.regexp_extract(place, wide, 1) if versioned else F.lit("")
+        if name == "spdx":
+            versions = F.split(F.translate(versions, "()", ""), " (?:or|and) ")
+        elif wide.endswith(_MORE):
+            versions = F.filter(
+                F.concat(F.array(versions), F.regexp_extract_all(place, F.lit(r"(?:or|and) (?:version |v)?([0-9](?:\.[0-9])?)"), F.lit(1))),
+                lambda v: v != "",
+            )
+        else:
+            versions = F.array(versions)
+        own = F.transform(versions, _mark(name))
+        marks = F.when(place.rlike("^(?:" + wide.split("(?=")[0] + ")"), own).otherwise(marks)
+    return marks
 
 
 def _named(before: str, after: str):
@@ -124,7 +168,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    marks = F.filter(F.transform(sentences(text), sentence_mark), lambda m: m.isNotNull())
+    marks = F.flatten(F.transform(sentences(text), sentence_marks))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), marks.alias("marks"))
     state = rows.select("doc_id", "marks", F.array_join("marks", "").alias("rest"), none.alias("names"))
     for licence, ids in RULES:
@@ -151,7 +195,8 @@ def _quoted(text: str) -> str:
 
 
 def recognise_sql(source: str = "documents") -> str:
-    """The same as DuckDB SQL, but only for texts with one of ``SIGNAL_WORDS``; others have no sentence there."""
+    """The same as DuckDB SQL, but only for texts with one of ``SIGNAL_WORDS``, one identifier a sentence, and with
+    comment signs left in sentences."""
     signals = " OR ".join(f"contains(lower(text), {_quoted(word)})" for word in SIGNAL_WORDS)
     cases = " ".join(
         f"WHEN regexp_matches(s, {_quoted(pattern)}) THEN '<{name} ' || "

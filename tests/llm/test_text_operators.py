@@ -488,6 +488,23 @@ def test_every_known_sentence_is_found_alone_in_a_text(documents):
     assert [r.licences for r in found if r.doc_id in (22, 23, 27)] == ["CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0;MIT"),
+     ("MIT license or Apache License 2.0", "Apache-2.0;MIT"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT;APACHE-2.0"),
+     ("int a\n// SPDX-License-Identifier: MIT\nint b", "MIT"), ("x = 1 # SPDX-License-Identifier: (MIT AND (ISC OR 0BSD))", "MIT;ISC;0BSD"),
+     ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note OR MIT. */", "GPL-2.0-ONLY-WITH-LINUX-SYSCALL-NOTE;MIT"),
+     ("GNU General Public License, version 2 or version 3", "GPL-2;GPL-3"), ("Apache License 2.0 and 3 others", "Apache-2.0"),
+     ("".join(f"// {line}\n" for line in MIT.splitlines()), "MIT"), ("".join(f" * {line}\n" for line in MIT.splitlines()), "MIT"),
+     ("// Redistribution and use in source and binary forms\n// is allowed. Redistributions of source code must retain the above\n"
+      "// copyright notice. Redistributions in binary form must reproduce the above copyright notice. The software is provided as is.",
+      "BSD-2-Clause"),
+     ("In no event shall the holders of the MIT license be liable for any claim.", "MIT")],
+)
+def test_all_licences_of_a_sentence(documents, text, names):
+    assert licences.recognise(documents([(1, text)])).first().licences == names
+
+
 def test_licences_run_without_python(documents):
     plan = licences.recognise(documents([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
