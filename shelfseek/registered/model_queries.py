@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,8 +196,7 @@ SELECT query_id, rank, product_id, title, category, store, price, average_rating
 def s1_cells(spark, sf_dir):
     """The same from an index of cells, opened again; looking into all of them is exact."""
     vectors = W.vectors(spark, sf_dir)
-    some = vectors.where("chunk_id % 50 = 0").orderBy("chunk_id").select("embedding").collect()
-    centres = np.array([row["embedding"] for row in some], float)
+    centres = ann.sampled_centres(vectors, W.DIM)
     index = ann.open_cells(spark, ann.write_cells(vectors, centres, W.DIM).path)
 
     def start(stream, _, *rest):

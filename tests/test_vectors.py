@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import __spark_entry__ as entry
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -190,6 +191,22 @@ def test_batches_of_thirty(spark):
     assert sizes == [30.0] * 60 + [10.0] * 10
 
 
+def test_sampled_centres_are_few(spark, world):
+    vectors = world[0]
+    usable = vectors.where(V.is_valid(F.col("embedding"), DIM))
+    centres = ann.sampled_centres(vectors, DIM)
+    assert centres.shape == (round(usable.count() ** 0.5), DIM)
+    assert (ann.sampled_centres(vectors.repartition(5), DIM) == centres).all()
+
+
+def test_stream_search_has_few_cells(spark, sf_dir, monkeypatch):
+    written, whole = [], ann.write_cells
+    monkeypatch.setattr(ann, "write_cells", lambda *given: written.append(whole(*given)) or written[-1])
+    entry.queries()["s1_stream_search_cells"](spark, sf_dir)
+    n_vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert [len(index.centres) for index in written] == [round(n_vectors ** 0.5)]
+
+
 def test_cells_recall(spark):
     rng = np.random.default_rng(11)
     centres = rng.normal(size=(6, DIM))
