@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfseek.llm import licences, linededup, mixing, packing, quality, simhash, topk, toxicity, vectordedup, warc
+from shelfseek.llm import (
+    licences, linededup, mixing, packing, periodicity, quality, simhash, topk, toxicity, vectordedup, warc,
+)
 from shelfseek.llm.common import crc_remainder, table
 
 QUERIES: dict = {}
@@ -180,3 +182,41 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_licences", licences.recognise_sql())
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.recognise(table(spark, sf_dir, "documents"))
+
+
+def every_tenth_repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), where the words of one document of ten repeat from some word on.
+
+    With h the crc32 of the key as text and n words, the documents with h % 10 = 0 repeat from word
+    a = h / 10 % n on with the period 1 + (n - a) / (3 + h / 10 % 8), all in whole numbers.
+    """
+    g = F.expr("h div 10")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " "))
+
+    hashed = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), F.transform(F.array(words), repeated)[0])
+    return hashed.select("doc_id", text.otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodicity.periodic_runs(every_tenth_repeated(table(spark, sf_dir, "documents")))
+    longest = F.reduce(
+        "runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda best, run: F.when(best.isNull() | (run.length * best.period > best.length * run.period), run).otherwise(best),
+    )
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run.start, run.length, run.period))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
