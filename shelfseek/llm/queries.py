@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfseek.llm import (
-    licences, linededup, mixing, packing, periodicity, quality, simhash, topk, toxicity, vectordedup, warc,
+    licences, linededup, mixing, packing, periodicity, quality, sentencepieces, simhash, topk, toxicity, vectordedup, warc,
 )
 from shelfseek.llm.common import crc_remainder, table
 
@@ -220,3 +220,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def piece_model_path() -> str:
+    """The public SentencePiece model of the contract, from the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), piece_model_path())
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
