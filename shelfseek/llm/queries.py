@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfseek.llm import (
-    licences, linededup, mixing, packing, periodicity, quality, sentencepieces, simhash, topk, toxicity, vectordedup, warc,
+    collocations, licences, linededup, mixing, packing, periodicity, quality, sentencepieces, simhash, topk, toxicity,
+    vectordedup, warc,
 )
 from shelfseek.llm.common import crc_remainder, table
 
@@ -236,3 +237,33 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+OP11_SQL = """WITH texts AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+  SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i
+  FROM worded, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size)),
+counts AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+covers AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS f FROM (
+  SELECT lang, w, a, k, unnest(generate_series(1, size - k + 1)) AS i
+  FROM (SELECT *, unnest(generate_series(2, size - 1)) AS k FROM candidates WHERE size > 2)) GROUP BY ALL),
+stay AS (SELECT c.* FROM candidates c LEFT JOIN covers USING (lang, phrase)
+  WHERE f IS NULL OR 100::HUGEINT * f < 80::HUGEINT * a),
+cuts AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM stay),
+scored AS (SELECT x.lang, x.phrase, x.a, k, l.a AS l, r.a AS r,
+  ((2000000::HUGEINT * x.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+  FROM cuts x JOIN counts l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN counts r ON r.lang = x.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), at_least=30, first=2000)
