@@ -1,15 +1,15 @@
 """Phrases of words that belong together, counted in depth-truncated suffix trees built group by group.
 
-Every word starts a suffix that ends with its piece of text or after ``longest`` words. Vertical partitioning
-deals the suffixes to groups by a prefix of variable length: prefixes are counted first (one word, then two),
-one that occurs more often than the memory budget is extended by a further word, and prefixes are gathered
-until a group fills the budget. A prefix that occurs less often than asked for, and a suffix behind a pair of
-words that does, can hold no candidate and are left out; bitmaps of fixed size say so, and can only err towards
-keeping. Each group is then sorted and read by one task as the subtree of its suffixes: two neighbours part at
-some depth, and every leaf or inner node above it is complete and gives its total.
+Every word starts a suffix that ends with its piece of text or after four words. Vertical partitioning deals
+the suffixes to groups by a prefix of variable length: prefixes of one word, then of two, are counted first; one
+that occurs more often than the memory budget is extended by a further word, and prefixes are gathered until a
+group fills the budget. Behind a word or a pair of words that occurs less often than asked for there is no
+candidate, so suffixes end there; bitmaps of fixed size say so, and can only err towards keeping. Each group is
+sorted and read by one task as the subtrees of its suffixes: two neighbours part at some depth, and every node
+below it is complete and gives its total, the sum of its leaves.
 
 All counts are exact. Equal suffixes are added up before they are shuffled, so copies and frequent words cost
-one row per block of texts. Nothing is collected but bitmaps and the group of each bucket, of fixed sizes.
+one row per block of texts. Nothing is collected but bitmaps and the loads of buckets, of fixed sizes.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from shelfseek.llm.common import batches_of, written
 
 NO_LANGUAGE = "und"
 #: Occurrences of a prefix, and of all prefixes of a group.
-BUDGET = 1 << 22
+BUDGET = 1 << 20
 #: Places of the bitmaps of frequent words and pairs, as powers of two.
 WORD_BITS, PAIR_BITS = 23, 25
 #: Buckets that prefixes are hashed to before the buckets are gathered into groups.
@@ -46,9 +46,11 @@ _DEPTH = 4
 # --- blocks of texts ------------------------------------------------------------------------------------
 
 
-def _hashes(lang: str, rows: Iterable[bytes]) -> np.ndarray:
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(row, seed=seed) for row in rows), np.uint64)
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The key of a prefix from that of its words but the last, and of the last one."""
+    with np.errstate(over="ignore"):
+        key = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return key ^ (key >> np.uint64(29))
 
 
 class _Block:
@@ -66,46 +68,39 @@ class _Block:
         del number[b"."]
         self.words = list(number)
         self.ids = np.array([*ids, *[-1] * _DEPTH], np.int64)
-        self.size = max(1, len(self.words))
 
-    def tuples(self, depth: int) -> list[np.ndarray]:
-        """The words at each place and at the ``depth`` - 1 places after it, cut behind the first -1."""
-        n = len(self.ids) - _DEPTH
-        columns = [self.ids[:n]]
-        for step in range(1, depth):
-            following = self.ids[step : step + n]
-            columns.append(np.where(columns[-1] < 0, -1, following))
-        return columns
+    def keys(self) -> np.ndarray:
+        """64-bit hashes of the language and each word, and of the end of a piece at last."""
+        seed = xxhash.xxh32_intdigest(self.lang.encode())
+        return np.fromiter((xxhash.xxh64_intdigest(word, seed=seed) for word in (*self.words, b".")), np.uint64)
+
+    def pair_keys(self, keys: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places whose word and next word are in the bitmap, and the keys of these pairs."""
+        known = _bit_set(frequent, keys)
+        known[-1] = False
+        first, second = self.ids[:-_DEPTH], self.ids[1 : 1 - _DEPTH]
+        places = np.flatnonzero(known[first] & known[second])
+        return places, _mixed(keys[first[places]], keys[second[places]])
 
     def counted(self, columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Distinct rows of the columns, how often each occurs, and the number of each row's distinct row."""
-        code = columns[0]
-        for column in columns[1:]:
-            if (int(code.max(initial=0)) + 2) * (self.size + 2) >= 1 << 62:
+        """Distinct rows of the columns, how often each occurs, and the place of its first occurrence."""
+        used = np.zeros(len(self.words) + 1, bool)
+        for column in columns:
+            used[column] = True
+        number = np.cumsum(used)  # smaller numbers, so that more columns fit 64 bits
+        code, size = np.zeros(len(columns[0]), np.int64), int(number[-1]) + 1
+        for column in columns:
+            if (int(code.max(initial=0)) + 1) * size >= 1 << 62:
                 _, code = np.unique(code, return_inverse=True)
-            code = code * (self.size + 1) + column + 1
-        _, first, inverse, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        return [column[first] for column in columns], n, inverse
-
-    def keys(self, columns: list[np.ndarray]) -> np.ndarray:
-        """A 64-bit hash of the language and the words of each row."""
-        rows = zip(*([self.words[i] for i in column.tolist()] for column in columns), strict=True)
-        return _hashes(self.lang, map(b" ".join, rows))
-
-    def word_keys(self) -> np.ndarray:
-        return _hashes(self.lang, self.words)
-
-    def pairs_of(self, frequent: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
-        """Where both words of the first two columns are in the bitmap of frequent words."""
-        known = np.append(_bit_set(frequent, self.word_keys()), False)
-        return known[columns[0]] & known[columns[1]]
+            code = code * size + number[column]
+        _, first, n = np.unique(code, return_index=True, return_counts=True)
+        return [column[first] for column in columns], n, first
 
-    def batch(self, columns: list[np.ndarray], n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    def strings(self, columns: list[np.ndarray]) -> list[pa.Array]:
+        """The language and the words of each column; -1 is null."""
         vocabulary = pa.array(self.words, pa.binary()).cast(pa.string())
-        arrays = [pa.array([self.lang] * len(n), pa.string())]
-        for column in columns:
-            arrays.append(vocabulary.take(pa.array(column, mask=column < 0)))
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64())], names)
+        words = [vocabulary.take(pa.array(column, mask=column < 0)) for column in columns]
+        return [pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(columns[0]), np.int64))), *words]
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -147,64 +142,74 @@ def _bit_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bitmap(counts: DataFrame, depth: int, power: int) -> np.ndarray:
-    """2**``power`` bits, set at the hash of the first ``depth`` words of every row of ``counts``."""
-    names = [f"w{i}" for i in range(1, depth + 1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
-            place = _row_keys(batch, names) % np.uint64(1 << power)
-            slot, inverse = np.unique(place >> np.uint64(6), return_inverse=True)
-            word = np.zeros(len(slot), np.uint64)
-            np.bitwise_or.at(word, inverse, np.uint64(1) << (place & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(word.view(np.int64))], ["slot", "word"])
-
-    parts = counts.select("lang", *names).mapInArrow(run, "slot bigint, word bigint")
-    found = parts.groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
+def bitmap(keys: DataFrame, power: int) -> np.ndarray:
+    """2**``power`` bits, set where the column ``key`` says."""
+    slot = F.expr(f"shiftrightunsigned(key & {(1 << power) - 1}L, 6)").alias("slot")
+    word = F.expr("shiftleft(1L, cast(key & 63 as int))").alias("word")
+    found = keys.select(slot, word).groupBy("slot").agg(F.bit_or("word").alias("word")).toArrow()
     words = np.zeros(1 << power - 6, np.uint64)
     words[np.asarray(found.column("slot"))] = np.asarray(found.column("word")).view(np.uint64)
     return words.view(np.uint8)
 
 
-def _row_keys(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    """The hashes that ``_Block.keys`` gives, for rows of words."""
-    seeds = {lang: xxhash.xxh32_intdigest(lang.encode()) for lang in set(batch.column("lang").to_pylist())}
-    rows = zip(*(batch.column(name).cast(pa.binary()).to_pylist() for name in names), strict=True)
-    pairs = zip(batch.column("lang").to_pylist(), map(b" ".join, rows), strict=True)
-    return np.fromiter((xxhash.xxh64_intdigest(row, seed=seeds[lang]) for lang, row in pairs), np.uint64)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, key, n) of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            n = np.bincount(block.ids[block.ids >= 0], minlength=len(block.words))
+            arrays = block.strings([np.arange(len(block.words))])
+            keys = block.keys()[:-1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(keys), pa.array(n, pa.int64())], ["lang", "word", "key", "n"])
+
+    parts = docs.mapInArrow(run, "lang string, word string, key bigint, n bigint")
+    return parts.groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
 
 
-def prefix_counts(docs: DataFrame, depth: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """(lang, w1 … w``depth``, n) of all prefixes of ``depth`` words; for two, of pairs of frequent words only."""
-    names = ["lang", *[f"w{i}" for i in range(1, depth + 1)], "n"]
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # a bitmap of fixed size
+def pair_counts(docs: DataFrame, word_bits: np.ndarray, hot_words: np.ndarray) -> DataFrame:
+    """(key, hot, n) of all pairs of frequent words, by the key alone; ``hot`` where the first word is extended.
+
+    Pairs of equal key are counted together, which can only keep more of them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((word_bits, hot_words))  # bitmaps of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, hot = shared.value
         for block in _blocks(batches):
-            columns = block.tuples(depth)
-            keep = columns[-1] >= 0 if shared.value is None else block.pairs_of(shared.value, columns)
-            columns, n, _ = block.counted([column[keep] for column in columns])
-            yield block.batch(columns, n, names)
+            keys = block.keys()
+            places, pairs = block.pair_keys(keys, frequent)
+            pairs, first, n = np.unique(pairs, return_index=True, return_counts=True)
+            is_hot = _bit_set(hot, keys[block.ids[places[first]]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs.view(np.int64)), pa.array(is_hot), pa.array(n, pa.int64())], ["key", "hot", "n"]
+            )
 
-    words = ", ".join(f"{name} string" for name in names[1:-1])
-    parts = docs.mapInArrow(run, f"lang string, {words}, n bigint")
-    return parts.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    # a block has a pair once, so adding up before the shuffle would find next to nothing
+    parts = docs.mapInArrow(run, "key bigint, hot boolean, n bigint").repartition("key")
+    return parts.groupBy("key", "hot").agg(F.sum("n").alias("n"))
 
 
 class Partition:
     """To which group each suffix goes. Bitmaps and buckets only, of fixed sizes."""
 
-    def __init__(self, word_bits: np.ndarray, pairs: DataFrame, words: DataFrame, budget: int):
-        self.word_bits = word_bits
-        self.pair_bits = bitmap(pairs, 2, PAIR_BITS)
-        self.hot_words = bitmap(words.where(F.col("n") > budget), 1, WORD_BITS)
-        self.hot_pairs = bitmap(pairs.where(F.col("n") > budget), 2, WORD_BITS)
+    def __init__(self, words: DataFrame, word_bits: np.ndarray, hot_words: np.ndarray, pairs: DataFrame, budget: int):
+        self.word_bits, self.hot_words = word_bits, hot_words
+        self.pair_bits = bitmap(pairs, PAIR_BITS)
+        self.hot_pairs = bitmap(pairs.where(F.col("n") > budget), WORD_BITS)
+        alone = words.where(F.col("n") <= budget).select("key", "n")
+        extended = pairs.where("hot").select(F.when(F.col("n") <= budget, F.col("key")).alias("key"), "n")
+        bucket = F.coalesce(F.col("key").bitwiseAND(F.lit(BUCKETS - 1)), F.lit(BUCKETS).cast("bigint")).alias("bucket")
+        found = alone.union(extended).groupBy(bucket).agg(F.sum("n").alias("n")).toArrow()
+        load = np.zeros(BUCKETS + 1)
+        load[np.asarray(found.column("bucket"))] = np.asarray(found.column("n"))
+        # what hangs below pairs that are extended once more is dealt to all buckets alike
+        load = load[:BUCKETS] + load[BUCKETS] / BUCKETS
         self.group = np.zeros(BUCKETS, np.int32)
         group = filled = 0
-        for bucket, n in enumerate(self._load(pairs).tolist()):
+        for place, n in enumerate(load.tolist()):
             if filled and filled + n > budget:
                 group, filled = group + 1, 0
-            self.group[bucket] = group
+            self.group[place] = group
             filled += n
         self.groups = group + 1
 
@@ -212,116 +217,106 @@ class Partition:
         hot = _bit_set(self.hot_words, word_keys)
         return 1 + hot + (hot & _bit_set(self.hot_pairs, pair_keys))
 
-    def _load(self, pairs: DataFrame) -> np.ndarray:
-        """Occurrences per bucket; those of pairs that are split further are dealt to all buckets alike."""
-        shared = pairs.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches_of(batches):
-                word_keys, pair_keys = _row_keys(batch, ["w1"]), _row_keys(batch, ["w1", "w2"])
-                length = shared.value.prefix_lengths(word_keys, pair_keys)
-                bucket = (np.where(length == 1, word_keys, pair_keys) % np.uint64(BUCKETS)).astype(np.int64)
-                slot, inverse = np.unique(np.where(length > 2, BUCKETS, bucket), return_inverse=True)
-                total = np.bincount(inverse, np.asarray(batch.column("n"), float)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total)], ["slot", "n"])
 
-        found = pairs.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-        load = np.zeros(BUCKETS + 1)
-        load[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
-        return load[:BUCKETS] + load[BUCKETS] / BUCKETS
-
-
-def _suffixes(block: _Block, part: Partition) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct suffixes of three or four words whose pairs are all frequent, how often each occurs, its group."""
-    first, second = block.tuples(2)
-    places = np.flatnonzero(block.pairs_of(part.word_bits, [first, second]))
-    pairs, _, which = block.counted([first[places], second[places]])
-    pair_keys = block.keys(pairs)
-    # the number of each place's pair, -1 where it is not frequent
-    pair = np.full(len(first) + 2, -1)
-    pair[places] = np.where(_bit_set(part.pair_bits, pair_keys)[which], which, -1)
-    starts = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0))
-    columns = [block.ids[starts + step] for step in range(3)]
-    columns.append(np.where(pair[starts + 2] >= 0, block.ids[starts + 3], -1))
-    columns, n, which = block.counted(columns)
-    pair_of_row = np.empty(len(n), np.int64)
-    pair_of_row[which] = pair[starts]
-    word_keys, keys = block.word_keys()[columns[0]], pair_keys[pair_of_row]
-    length = part.prefix_lengths(word_keys, keys)
-    keys = np.where(length == 1, word_keys, keys)
-    longer = length > 2
-    if longer.any():
-        keys[longer] = block.keys([column[longer] for column in columns[:3]])
-    return columns, n, part.group[(keys % np.uint64(BUCKETS)).astype(np.int64)]
+def _suffixes(block: _Block, part: Partition) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct suffixes of two to four words whose pairs are all frequent: words, count, key of the pair,
+    group, and whether the prefix is longer than the pair."""
+    keys = block.keys()
+    places, pairs = block.pair_keys(keys, part.word_bits)
+    frequent = _bit_set(part.pair_bits, pairs)
+    places, pairs = places[frequent], pairs[frequent]
+    follows = np.zeros(len(block.ids), bool)
+    follows[places] = True
+    third = follows[places + 1]
+    columns = [block.ids[places], block.ids[places + 1], np.where(third, block.ids[places + 2], -1)]
+    columns.append(np.where(third & follows[places + 2], block.ids[places + 3], -1))
+    columns, n, first = block.counted(columns)
+    pairs = pairs[first]
+    length = part.prefix_lengths(keys[columns[0]], pairs)
+    prefix = np.select([length == 1, length == 2], [keys[columns[0]], pairs], _mixed(pairs, keys[columns[2]]))
+    return columns, n, pairs, part.group[(prefix % np.uint64(BUCKETS)).astype(np.int64)], length > 2
 
 
 def truncated_suffixes(docs: DataFrame, partition: Partition) -> DataFrame:
-    """(lang, w1, w2, w3, w4 or null, n, grp): suffixes of three words or more, as deep as their pairs are frequent."""
-    names = ["lang", "w1", "w2", "w3", "w4", "n", "grp"]
+    """(lang, w1, w2, w3 or null, w4 or null, n, pair, grp, split): suffixes of two words or more."""
+    schema = "lang string, w1 string, w2 string, w3 string, w4 string, n bigint, pair bigint, grp int, split boolean"
     shared = docs.sparkSession.sparkContext.broadcast(partition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            columns, n, group = _suffixes(block, shared.value)
-            rows = block.batch(columns, n, names[:-1])
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(group)], names)
+            columns, n, pairs, group, split = _suffixes(block, shared.value)
+            arrays = [pa.array(n, pa.int64()), pa.array(pairs.view(np.int64)), pa.array(group), pa.array(split)]
+            yield pa.RecordBatch.from_arrays(
+                [*block.strings(columns), *arrays], [field.split()[0] for field in schema.split(", ")]
+            )
 
-    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n bigint, grp int")
+    return docs.mapInArrow(run, schema)
 
 
 # --- subtrees -------------------------------------------------------------------------------------------
 
+_NODE = ["lang", "w1", "w2", "w3", "w4"]
 
-def _changes(batch: pa.RecordBatch, names: list[str], before: list | None) -> np.ndarray:
-    """At which rows any of the columns differs from the row above; ``before`` is the row above the first."""
+
+def _changes(batch: pa.RecordBatch, before: list | None) -> Iterator[np.ndarray]:
+    """Per depth from the second on, at which rows a node of that depth begins; ``before`` is the row above."""
     changed = np.zeros(batch.num_rows, bool)
-    for i, name in enumerate(names):
+    changed[0] = before is None
+    for place, name in enumerate(_NODE):
         column = pc.fill_null(batch.column(name), "\n")  # no word holds a line break
-        differs = np.asarray(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False), bool)
-        changed[1:] |= differs
-        changed[0] |= before is None or before[i] != batch.column(name)[0].as_py()
-    return changed
+        changed[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False), bool)
+        changed[0] |= before is not None and before[place] != batch.column(name)[0].as_py()
+        if place >= 2:
+            yield np.flatnonzero(changed)
 
 
 def subtree_counts(suffixes: DataFrame, groups: int, at_least: int) -> DataFrame:
-    """(lang, w1, w2, w3, w4, n) of all nodes of three and four words that occur ``at_least`` so often.
+    """(lang, w1, w2, w3, w4, n) of all nodes of two to four words that occur ``at_least`` so often.
 
-    A task reads its groups in order. Suffixes that share a node are neighbours there, so a node is complete
-    when the next suffix parts above it; only the open path is remembered. A suffix that ends after three words
-    is a leaf of its node of three.
+    Suffixes that share a node are neighbours in a task, so a node is complete when the next suffix parts above
+    it; only the open path is remembered. A suffix that ends early is a leaf of its last node. A pair that was
+    extended lies in several groups: its parts are handed on whatever their counts, and added up.
     """
-    names = ["lang", "w1", "w2", "w3", "w4"]
 
-    def rows(nodes: list[tuple[list, int]]) -> pa.RecordBatch:
-        kept = [(*path, *[None] * (5 - len(path)), n) for path, n in nodes if n >= at_least and path[-1] is not None]
+    def rows(nodes: list[tuple[list, int, bool]]) -> pa.RecordBatch:
+        kept = [
+            (*path, *[None] * (5 - len(path)), n) for path, n, split in nodes
+            if path[-1] is not None and (n >= at_least or (split and len(path) == 3))
+        ]
         arrays = [pa.array([row[i] for row in kept], pa.string()) for i in range(5)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([row[5] for row in kept], pa.int64())], [*names, "n"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([row[5] for row in kept], pa.int64())], [*_NODE, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path: dict[int, tuple[list, int]] = {}  # the open node of each depth
+        path: dict[int, tuple[list, int, bool]] = {}  # the open node of each depth
+        before = None
         for batch in batches_of(batches):
-            n = np.asarray(batch.column("n"))
-            for depth in (3, 4):
-                shared = names[: depth + 1]
-                starts = np.flatnonzero(_changes(batch, shared, path[depth][0] if depth in path else None))
+            n, split = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("n", "split"))
+            for depth, starts in enumerate(_changes(batch, before), 2):
                 if depth in path:
-                    path[depth] = path[depth][0], path[depth][1] + int(n[: starts[0] if len(starts) else None].sum())
+                    words, total, extended = path[depth]
+                    path[depth] = words, total + int(n[: starts[0] if len(starts) else None].sum()), extended
                 if not len(starts):
                     continue
                 if depth in path:
                     yield rows([path[depth]])
                 totals = np.add.reduceat(n, starts)
-                nodes = batch.select(shared).take(pa.array(starts))
-                whole = (totals >= at_least) & np.asarray(nodes.column(shared[-1]).is_valid())
+                nodes = batch.select(_NODE[: depth + 1]).take(pa.array(starts))
+                whole = totals >= at_least
+                if depth == 2:
+                    whole |= split[starts].astype(bool)
+                whole &= nodes.column(depth).is_valid().to_numpy(zero_copy_only=False)
                 whole[-1] = False
                 done = nodes.filter(pa.array(whole))
                 columns = [*done.columns, *[pa.nulls(done.num_rows, pa.string())] * (4 - depth)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(totals[whole], pa.int64())], [*names, "n"])
-                path[depth] = [nodes.column(name)[len(starts) - 1].as_py() for name in shared], int(totals[-1])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(totals[whole], pa.int64())], [*_NODE, "n"])
+                last = [nodes.column(i)[len(starts) - 1].as_py() for i in range(depth + 1)]
+                path[depth] = last, int(totals[-1]), bool(split[starts[-1]])
+            before = [batch.column(name)[batch.num_rows - 1].as_py() for name in _NODE]
         yield rows(list(path.values()))
 
-    dealt = suffixes.repartition(groups, "grp").sortWithinPartitions("grp", *names)
-    return dealt.select(*names, "n").mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n bigint")
+    dealt = suffixes.repartition(groups, "grp").sortWithinPartitions("pair", *_NODE).select(*_NODE, "n", "split")
+    nodes = dealt.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, n bigint")
+    return nodes.groupBy(*_NODE).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
 
 
 def phrase_counts(
@@ -332,22 +327,17 @@ def phrase_counts(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    every_word = written(prefix_counts(texts, 1), "words")
+    every_word = written(word_counts(texts), "words")
     words = every_word.where(F.col("n") >= at_least)
-    word_bits = bitmap(words, 1, WORD_BITS)
-    pairs = written(prefix_counts(texts, 2, word_bits).where(F.col("n") >= at_least), "pairs")
-    partition = Partition(word_bits, pairs, words, budget)
+    word_bits, hot_words = bitmap(words, WORD_BITS), bitmap(words.where(F.col("n") > budget), WORD_BITS)
+    pairs = written(pair_counts(texts, word_bits, hot_words).where(F.col("n") >= at_least), "pairs")
+    partition = Partition(words, word_bits, hot_words, pairs, budget)
     longer = subtree_counts(truncated_suffixes(texts, partition), partition.groups, at_least)
-    sized = [
-        words.select("lang", F.col("w1").alias("phrase"), F.lit(1).alias("size"), "n"),
-        pairs.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("size"), "n"),
-        longer.select(
-            "lang", F.concat_ws(" ", "w1", "w2", "w3", "w4").alias("phrase"),
-            F.when(F.col("w4").isNull(), 3).otherwise(4).alias("size"), "n",
-        ),
-    ]
-    phrases = written(sized[0].union(sized[1]).union(sized[2]), "phrases")
-    return phrases, every_word.groupBy("lang").agg(F.sum("n").alias("n"))
+    size = F.when(F.col("w3").isNull(), 2).when(F.col("w4").isNull(), 3).otherwise(4).alias("size")
+    phrases = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n").union(
+        longer.select("lang", F.concat_ws(" ", *_NODE[1:]).alias("phrase"), size, "n")
+    )
+    return written(phrases, "phrases"), every_word.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 # --- the operator ---------------------------------------------------------------------------------------
