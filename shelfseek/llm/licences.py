@@ -28,18 +28,42 @@ SENTENCES = [
     ("bsd-source", r"redistributions of source code must retain the above copyright notice", False),
     ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice", False),
     ("bsd-endorse", r"may be used to endorse or promote products derived", False),
-    ("gpl-free", r"free software: you can redistribute it and/or modify it under the terms of the gnu (?:general )?public license", False),
+    ("agpl-free", r"you can redistribute it and/or modify it under the terms of the gnu affero general public license", False),
+    ("lgpl-free", r"you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) (?:general )?public license", False),
+    ("gpl-free", r"you can redistribute it and/or modify it under the terms of the gnu (?:general )?public license", False),
+    ("or-later", r"version ([0-9](?:\.[0-9])?) of the license,? or (?:\(at your option\) )?any later version", True),
+    ("this-version", r"version ([0-9](?:\.[0-9])?) of the license\b", True),
     ("gpl-no-warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose", False),
-    ("gpl-copy", r"you should have received a copy of the gnu (?:general|lesser general|affero general) public license", False),
+    ("gpl-copy", r"you should have received a copy of the gnu (?:general|lesser general|library general|affero general) public license", False),
     ("agpl-ref", r"gnu affero general public license,? (?:version |v)?([0-9](?:\.[0-9])?)", True),
-    ("lgpl-ref", r"gnu lesser general public license,? (?:version |v)?([0-9](?:\.[0-9])?)", True),
+    ("lgpl-ref", r"gnu (?:lesser|library) general public license,? (?:version |v)?([0-9](?:\.[0-9])?)", True),
     ("gpl-ref", r"gnu general public license,? (?:version |v)?([0-9](?:\.[0-9])?)", True),
+    ("agpl-unversioned", r"gnu affero general public license", False),
+    ("lgpl-unversioned", r"gnu (?:lesser|library) general public license", False),
     ("gpl-unversioned", r"gnu general public license", False),
+    ("agpl-short", r"\bagpl ?v([0-9](?:\.[0-9])?)", True),
+    ("lgpl-short", r"\blgpl ?v([0-9](?:\.[0-9])?)", True),
+    ("gpl-short", r"\bgpl ?v([0-9](?:\.[0-9])?)", True),
     ("apache-compliance", r"you may not use this file except in compliance with the license", False),
     ("apache-copy", r"you may obtain a copy of the license at", False),
     ("apache-basis", r"distributed under the license is distributed on an as is basis", False),
     ("apache-ref", r"apache license,? (?:version |v)?([0-9](?:\.[0-9])?)", True),
     ("mpl-ref", r"mozilla public license,? (?:version |v\. ?|v)?([0-9](?:\.[0-9])?)", True),
+    ("mpl-copy", r"if a copy of the mpl was not distributed with this file", False),
+    ("epl-ref", r"eclipse public license(?: -)?,? (?:version |v\. ?|v ?)?([0-9](?:\.[0-9])?)", True),
+    ("bsl-ref", r"boost software license(?: -)?,? (?:version |v\. ?|v ?)?([0-9](?:\.[0-9])?)", True),
+    ("cddl-ref", r"common development and distribution license,? (?:\(cddl\),? )?(?:version |v\. ?|v ?)?([0-9](?:\.[0-9])?)", True),
+    ("artistic-ref", r"artistic license,? (?:version |v\. ?|v ?)?([0-9](?:\.[0-9])?)", True),
+    ("afl-ref", r"academic free license,? (?:version |v\. ?|v ?)?([0-9](?:\.[0-9])?)", True),
+    ("eupl-ref", r"european union public licen[cs]e,? (?:\(eupl\),? )?(?:version |v\. ?|v ?)?([0-9](?:\.[0-9])?)", True),
+    ("cc0-ref", r"\bcc0[ -](?:version )?([0-9](?:\.[0-9])?)", True),
+    ("wtfpl-ref", r"do what the f(?:uck|\*ck) you want to public license", False),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose, including commercial applications", False),
+    ("zlib-origin", r"the origin of this software must not be misrepresented", False),
+    ("zlib-altered", r"altered source versions must be plainly marked as such", False),
+    ("zlib-notice", r"this notice may not be removed or altered from any source distribution", False),
+    ("bsl-grant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy", False),
+    ("zlib-ref", r"\bzlib license", False),
     ("cc-name", r"creative commons attribution((?:-[a-z]+)* [0-9]\.[0-9])", True),
     ("cc-ref", r"\bcc[ -]by((?:-[a-z]+)* [0-9]\.[0-9])", True),
     ("mit-ref", r"\bmit license", False),
@@ -61,7 +85,7 @@ WIDER = {
 _MORE = r"(?:,? (?:(?:or|and/or) (?:version |v)?[0-9](?:\.[0-9])?|and (?:(?:version |v)[0-9](?:\.[0-9])?|[0-9]\.[0-9]))(?![0-9a-z]))*"
 
 #: Licence and its sentences, in the order in which the rules are tried. ``*`` stands for the
-#: version of the sentence and is copied into the name.
+#: version of the sentence and is copied into the name; a sentence with ``?`` may be absent.
 RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "as-is", "no-liability"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "as-is"]),
@@ -72,15 +96,40 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("ISC", ["isc-grant", "as-is", "no-liability"]),
     ("ISC", ["isc-grant", "as-is"]),
+    *[
+        (f"{name}-*{later}", [f"{mark}-free", f"{version}*", "gpl-no-warranty?", f"{mark}-unversioned?", "gpl-copy?"])
+        for later, version in (("-or-later", "or-later"), ("-only", "this-version"))
+        for name, mark in (("AGPL", "agpl"), ("LGPL", "lgpl"), ("GPL", "gpl"))
+    ],
     ("GPL", ["gpl-free", "gpl-no-warranty", "gpl-copy"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("AGPL-*", ["agpl-ref*"]),
     ("LGPL-*", ["lgpl-ref*"]),
     ("GPL-*", ["gpl-ref*"]),
     ("GPL", ["gpl-free"]),
+    ("AGPL", ["agpl-free"]),
+    ("LGPL", ["lgpl-free"]),
+    ("AGPL", ["agpl-unversioned"]),
+    ("LGPL", ["lgpl-unversioned"]),
     ("GPL", ["gpl-unversioned"]),
+    ("AGPL-*", ["agpl-short*"]),
+    ("LGPL-*", ["lgpl-short*"]),
+    ("GPL-*", ["gpl-short*"]),
     ("Apache-*", ["apache-ref*"]),
+    ("MPL-*", ["mpl-ref*", "mpl-copy"]),
     ("MPL-*", ["mpl-ref*"]),
+    ("EPL-*", ["epl-ref*"]),
+    ("BSL-*", ["bsl-ref*", "bsl-grant"]),
+    ("BSL-*", ["bsl-ref*"]),
+    ("BSL", ["bsl-grant"]),
+    ("CDDL-*", ["cddl-ref*"]),
+    ("Artistic-*", ["artistic-ref*"]),
+    ("AFL-*", ["afl-ref*"]),
+    ("EUPL-*", ["eupl-ref*"]),
+    ("CC0-*", ["cc0-ref*"]),
+    ("WTFPL", ["wtfpl-ref"]),
+    ("Zlib", ["zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"]),
+    ("Zlib", ["zlib-ref"]),
     ("CC-BY*", ["cc-name*"]),
     ("CC-BY*", ["cc-ref*"]),
     ("MIT", ["mit-ref"]),
@@ -90,22 +139,30 @@ RULES = [
     ("*", ["spdx*"]),
 ]
 
+#: A point before a number that ends no sentence.
+NUMBER_MARK = r"\b([Vv]|[Vv]er|[Nn]o)\.\s+([0-9])"
+#: Words no sentence ends with, so that the next line goes on whatever it starts with.
+GOES_ON = r"(?i)\b(gnu|lesser|library|affero|general|public|mozilla|eclipse|apache|boost|the|of|this|and|or|under)[ \t]*\n[ \t]*([a-z0-9])"
+
 BREAK, GONE = "\x01", "|"
 
 
 def rule_pattern(ids: list[str]) -> str:
     """The pattern of a rule in a text of ``<identifier version>`` marks; its group is the version."""
-    return "".join(f"<{name[:-1]} ([^>]*)>" if name.endswith("*") else f"<{name} >" for name in ids)
+    forms = {"*": "<{} ([^>]*)>", "?": "(?:<{} >)?"}
+    return "".join(forms[name[-1]].format(name[:-1]) if name[-1] in forms else f"<{name} >" for name in ids)
 
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text, in order.
 
     A sentence ends at . ! ? or ; before white space or the end, at an empty line, and where the next line
-    starts with a capital or a digit. Comment signs at the start of a line go first. Normalising lower-cases,
+    starts with a capital or a digit, unless the last word cannot end one. A point between "v", "ver" or "no" and
+    a number ends none. Comment signs at the start of a line go first. Normalising lower-cases,
     keeps letters, digits and a few signs, makes one space of the rest, and drops signs at the start.
     """
     bare = F.regexp_replace(text, r"(?m)^[ \t]*(?:/{2,}!?|/\*+|\*+/?|#+|;+|--+|%+|<!--)(?=[ \t]|$)[ \t]*", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, NUMBER_MARK, "$1.$2"), GOES_ON, "$1 $2")
     ended = F.regexp_replace(bare, r"[.!?;](\s+|$)", BREAK)
     broken = F.regexp_replace(ended, r"\n\s*(\n|[A-Z0-9])", BREAK + "$1")
     parts = F.split(broken, BREAK)
@@ -216,8 +273,8 @@ def recognise_sql(source: str = "documents") -> str:
             f"s{number + 1} AS (SELECT doc_id, marks, regexp_replace(rest, {pattern}, '{GONE}', 'g') AS rest, "
             f"list_concat(names, {names}) AS names FROM s{number})"
         )
-    return f"""WITH cut AS (SELECT doc_id, CASE WHEN {signals} THEN string_split(regexp_replace(regexp_replace(text,
-  '[.!?;](\\s+|$)', chr(1), 'g'), '\\n\\s*(\\n|[A-Z0-9])', chr(1) || '\\1', 'g'), chr(1)) ELSE []::VARCHAR[] END AS parts FROM {source}),
+    return f"""WITH cut AS (SELECT doc_id, CASE WHEN {signals} THEN string_split(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(text, {_quoted(NUMBER_MARK)}, '\\1.\\2', 'g'), {_quoted(GOES_ON)}, '\\1 \\2', 'g'), '[.!?;](\\s+|$)', chr(1), 'g'), '\\n\\s*(\\n|[A-Z0-9])', chr(1) || '\\1', 'g'), chr(1)) ELSE []::VARCHAR[] END AS parts FROM {source}),
 plain AS (SELECT doc_id, list_filter(list_transform(parts, lambda p: trim(regexp_replace(lower(p), '[^a-z0-9.,:;()+/-]+', ' ', 'g'))),
   lambda s: s <> '') AS sentences FROM cut),
 marked AS (SELECT doc_id, list_filter(list_transform(sentences, lambda s: CASE {cases} END), lambda m: m IS NOT NULL) AS marks FROM plain),

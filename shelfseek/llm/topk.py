@@ -26,6 +26,8 @@ BUCKETS = 128
 BLOCK = 1024
 _ROWS = 2048
 _EXACT = 2.0**53
+#: Scores are kept within this, so that the range of all of them fits 64 bits.
+MOST = 2**62 - 1
 
 
 def whole_numbers(column: pa.Array, dim: int, scale: int) -> np.ndarray:
@@ -35,21 +37,25 @@ def whole_numbers(column: pa.Array, dim: int, scale: int) -> np.ndarray:
 
 
 def scores_of(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers. Raises ``OverflowError`` if one might not fit 64 bits.
+    """Exact inner products of whole numbers; one beyond ``MOST`` in size counts as ``MOST`` of its sign.
 
-    Products below 2**53 are exact in double precision, in any order of summation; larger numbers are
-    multiplied as Python integers.
+    Products below 2**53 are exact in double precision, in any order of summation. The pairs whose sums may
+    be larger are multiplied as Python integers.
     """
     if not queries.size or not vectors.size:
         return np.zeros((len(queries), len(vectors)), np.int64)
-    largest = np.abs(queries).max() * np.abs(vectors).max() * queries.shape[1]
-    if largest < _EXACT:
-        return (queries @ vectors.T).astype(np.int64)
-    exact = np.vectorize(int, otypes=[object])
-    found = exact(queries) @ exact(vectors).T
-    if max(map(abs, found.ravel())) >= 2**63:
-        raise OverflowError("an inner product does not fit 64 bits")
-    return found.astype(np.int64)
+    longest = [np.abs(rows).max(axis=1) for rows in (queries, vectors)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        large = longest[0][:, None] * longest[1] * queries.shape[1] >= _EXACT
+        if not large.any():
+            return (queries @ vectors.T).astype(np.int64)
+        found = np.where(large, 0.0, queries @ vectors.T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    for place in np.flatnonzero(large.any(axis=0)).tolist():
+        rows = np.flatnonzero(large[:, place])
+        exact = whole(queries[rows]) @ whole(vectors[place])
+        found[rows, place] = [max(-MOST, min(MOST, score)) for score in exact.tolist()]
+    return found
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -105,8 +111,9 @@ def _bounds(vectors: DataFrame, queries: _Queries, dim: int, scale: int) -> None
     """Start from ranges that hold every score: products of the largest lengths."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     longest = vectors.select(F.max(F.sqrt(F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    most = np.sqrt((queries.vectors**2).sum(1)) * (longest or 0.0) * (1 + 1e-9) + 1
-    queries.high = np.minimum(most, 2.0**61).astype(np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = np.nan_to_num(np.sqrt((queries.vectors**2).sum(1)) * (longest or 0.0) * (1 + 1e-9) + 1, nan=np.inf)
+    queries.high = np.where(most < 2.0**61, most, 0.0).astype(np.int64) + np.where(most < 2.0**61, 0, MOST)
     queries.low = -queries.high
 
 
@@ -174,7 +181,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     product, ties go to the smaller vec_id. Rows with the query's own vec_id are no candidates. Rows without
     a vec_id, and vectors that are null, empty or hold null or non-finite items, take no part; a query meets
     vectors of its own length only. Repeated candidate rows are ranked as often as they occur, repeated
-    queries once. Queries are searched in blocks of bounded size, one after the other.
+    queries once. A score beyond 2**62 - 1 in size counts as that number: finite vectors of any size take part. Queries are searched in blocks of bounded size, one after the other.
     """
     spark = vectors.sparkSession
     result = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")

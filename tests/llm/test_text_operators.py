@@ -469,13 +469,27 @@ ALONE = {
     "bsd-source": "Redistributions of source code must\nretain the above copyright notice",
     "bsd-binary": "Redistributions in binary form must\nreproduce the above copyright notice",
     "bsd-endorse": "No name may be used to endorse or\npromote products derived from it",
+    "agpl-free": "you can redistribute it and/or modify it under the terms of the GNU Affero\nGeneral Public License",
+    "lgpl-free": "you can redistribute it and/or modify it under the terms of the GNU Lesser\nGeneral Public License",
     "gpl-free": "free software: you can redistribute it and/or modify it under the terms of the GNU  General Public License",
+    "or-later": "either version 3 of the License, or (at your option) any\nlater version", "this-version": "version 2 of the License.",
     "gpl-no-warranty": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-copy": "You should have received a copy of the GNU  General Public License", "agpl-ref": "GNU  Affero General Public License v3",
     "lgpl-ref": "GNU  Lesser General Public License 2.1", "gpl-ref": "GNU  General Public License, version 2",
-    "gpl-unversioned": "GNU  General Public License", "apache-compliance": "you may not use this file except in\ncompliance with the License",
+    "agpl-unversioned": "GNU Affero  General Public License", "lgpl-unversioned": "GNU Library  General Public License",
+    "gpl-unversioned": "GNU  General Public License", "agpl-short": "AGPLv3", "lgpl-short": "under LGPL v2.1", "gpl-short": "the GPLv2",
+    "apache-compliance": "you may not use this file except in\ncompliance with the License",
     "apache-copy": "You may obtain a copy of\nthe License at", "apache-basis": 'distributed under the License is distributed on an "AS IS" BASIS',
-    "apache-ref": "Apache  License 2.0", "mpl-ref": "Mozilla  Public License, v. 2.0", "cc-name": "Creative Commons Attribution 4.0 International",
+    "apache-ref": "Apache  License 2.0", "mpl-ref": "Mozilla  Public License, v. 2.0", "mpl-copy": "If a copy of the MPL was not\ndistributed with this file",
+    "epl-ref": "Eclipse Public License - v 2.0", "bsl-ref": "Boost Software License - Version 1.0",
+    "cddl-ref": "Common Development and Distribution License (CDDL), Version 1.0", "artistic-ref": "The Artistic License 2.0",
+    "afl-ref": "Academic Free License v. 3.0", "eupl-ref": "European Union Public Licence v. 1.2", "cc0-ref": "CC0 1.0 Universal",
+    "wtfpl-ref": "Do What The Fuck You Want To Public License",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications",
+    "zlib-origin": "The origin of this software must not be misrepresented", "zlib-altered": "altered source versions must be plainly marked as such",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy", "zlib-ref": "zlib license",
+    "cc-name": "Creative Commons Attribution 4.0 International",
     "cc-ref": "Text is available under CC BY-SA 4.0.", "mit-ref": "the MIT\nlicense", "bsd-ref": "3-clause  BSD license",
     "isc-ref": "the ISC\nlicense", "unlicense": "released into the public\ndomain", "copyright": "Copyright  2020 X",
 }
@@ -485,7 +499,42 @@ def test_every_known_sentence_is_found_alone_in_a_text(documents):
     assert list(ALONE) == [name for name, _, _ in licences.SENTENCES]
     found = licences.recognise(documents(list(enumerate(ALONE.values())))).orderBy("doc_id").collect()
     assert [r.sentence_ids.split("@")[0] for r in found] == list(ALONE)
-    assert [r.licences for r in found if r.doc_id in (22, 23, 27)] == ["CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+    places = [list(ALONE).index(name) for name in ("mpl-ref", "cc-name", "cc-ref", "unlicense")]
+    assert [r.licences for r in found if r.doc_id in places] == ["MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+
+
+GNU = """This {what} is free software{sign} you can redistribute it and/or modify
+it under the terms of the GNU {name} License as published by
+the Free Software Foundation{break_} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} License for more details.
+
+You should have received a copy of the GNU {name} License
+along with this {what}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+@pytest.mark.parametrize("sign", ["# "])
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [(GNU.format(what="program", sign=":", name="General Public", break_=",", version="3"), "GPL-3-or-later"),
+     (GNU.format(what="program", sign=";", name="General Public", break_=";", version="2"), "GPL-2-or-later"),
+     (GNU.format(what="library", sign=";", name="Lesser General Public", break_=";", version="2.1"), "LGPL-2.1-or-later"),
+     (GNU.format(what="program", sign=":", name="Affero General Public", break_=",", version="3"), "AGPL-3-or-later"),
+     ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public\n"
+      "License as published by the Free Software Foundation, version 2 of the License.", "LGPL-2-only"),
+     ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed "
+      "with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+     ("Licensed under GPLv3.", "GPL-3"), ("CC0 1.0 Universal", "CC0-1.0"), ("Eclipse Public License - v 2.0", "EPL-2.0"),
+     ("Boost Software License - Version 1.0 - August 17th, 2003", "BSL-1.0"), ("Dual: AGPLv3 or LGPL v2.1", "AGPL-3;LGPL-2.1")],
+)
+def test_notices_as_projects_write_them(documents, text, names, sign):
+    text = "".join(f"{sign}{line}\n" for line in text.splitlines())
+    assert licences.recognise(documents([(1, text)])).first().licences == names
 
 
 @pytest.mark.parametrize(

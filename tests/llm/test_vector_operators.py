@@ -93,10 +93,13 @@ def plain_top(rows, queries, k):
     def usable(v):
         return bool(v) and None not in v and np.isfinite(np.array(v, float)).all()
 
+    def fit(score):
+        return max(-(2**62) + 1, min(2**62 - 1, score))
+
     out = []
     for query_id, q in {i: v for i, v in queries if i is not None and usable(v)}.items():
         scored = [
-            (-sum(a * b for a, b in zip(whole(q), whole(v), strict=True)), i)
+            (-fit(sum(a * b for a, b in zip(whole(q), whole(v), strict=True))), i)
             for i, v in rows if i is not None and i != query_id and usable(v) and len(v) == len(q)
         ]
         out += [(query_id, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k])]
@@ -107,8 +110,8 @@ def plain_top(rows, queries, k):
 def test_top_k_is_that_of_all_scores(vectors, monkeypatch, k, block):
     monkeypatch.setattr(topk, "BLOCK", block)
     ties = [(2000 + i, [0.5] * 20) for i in range(40)]
-    odd = [row for row in ODD if row[0] != 12]
-    rows = clusters() + ties + odd
+    large = [(3000, [1e18] * 20), (3001, [-1e18] * 20), (3002, [1e6] * 20), (3020, [3e37] + [0.0] * 19)]
+    rows = clusters() + ties + ODD + large
     queries = [row for row in rows if row[0] is not None and row[0] % 20 == 0 and row[0] != 10] + [(7, [1.0])]
     found = topk.top_k(vectors(rows), vectors(queries), k).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == plain_top(rows, queries, k)
@@ -117,5 +120,5 @@ def test_top_k_is_that_of_all_scores(vectors, monkeypatch, k, block):
 def test_large_numbers_stay_exact():
     a, b = np.floor([[2.0**40 + 1, 3.0]]), np.floor([[2.0**20 + 1, -7.0]])
     assert topk.scores_of(a, b)[0, 0] == (2**40 + 1) * (2**20 + 1) - 21
-    with pytest.raises(OverflowError):
-        topk.scores_of(a * 2.0**20, b * 2.0**20)
+    assert topk.scores_of(a * 2.0**20, b * 2.0**20)[0, 0] == topk.MOST
+    assert topk.scores_of(a * 2.0**20, np.vstack([-b * 2.0**20, [[0.0, 1.0]]])).tolist() == [[-topk.MOST, 3 * 2**20]]
