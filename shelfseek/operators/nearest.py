@@ -195,7 +195,7 @@ def _broadcast_search(vectors: DataFrame, table: pa.Table, dim: int, measure: st
     return vectors.mapInArrow(search, _HITS)
 
 
-def _blocks(asked: DataFrame, dim: int, most: int) -> Iterator[pa.Table]:
+def query_blocks(asked: DataFrame, dim: int, most: int) -> Iterator[pa.Table]:
     """The queries as tables of about ``most`` rows that ask for about ``MAX_KEPT_ROWS`` hits in sum.
 
     A single query may ask for more; it then keeps as many hits in a task as the task has vectors.
@@ -238,7 +238,7 @@ def nearest(
     )
     asked = asked.where(F.size("embedding") == dim)
     found = None
-    for table in _blocks(asked, dim, max(1, max_broadcast_numbers // dim)):
+    for table in query_blocks(asked, dim, max(1, max_broadcast_numbers // dim)):
         if table.num_rows == 0:
             continue
         hits = _broadcast_search(stored, table, dim, measure)

@@ -53,13 +53,13 @@ def train_centres(vectors: DataFrame, dim: int, cells: int | None = None, seed:
 
 
 def sampled_centres(vectors: DataFrame, dim: int) -> np.ndarray:
-    """As many usable vectors as the square root of their number, by the smallest hashes of their ids, as centres.
+    """As many usable vectors as the square root of their number, by the smallest md5 of their ids, as centres.
 
     Only they reach the driver, without training; ids decide, so that the same table gives the same centres.
     """
     usable = _usable(vectors, dim)
     number = max(1, round(usable.count() ** 0.5))
-    chosen = usable.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(number)
+    chosen = usable.orderBy(F.md5(F.col("chunk_id").cast("string")), "chunk_id").limit(number)
     return np.array([row["embedding"] for row in chosen.select("embedding").collect()], float)
 
 

@@ -16,7 +16,7 @@ from shelfseek.operators import topk as R
 from shelfseek.operators.nearest import COSINE, nearest
 from shelfseek.operators.quality import check_vectors
 from shelfseek.operators.reports import matched_products
-from shelfseek.plans import ann
+from shelfseek.plans import ann, compressed
 from shelfseek.plans.index import CHUNKS, build_index, chunk_vectors
 from shelfseek.plans.search import request_vectors, search
 from shelfseek.registered import views as W
@@ -184,13 +184,51 @@ def v6(spark, sf_dir):
 
 @query("v7_ann_topk")
 def v7(spark, sf_dir):
+    """Learned centres and codebooks; the estimates' best are compared exactly."""
     vectors = W.vectors(spark, sf_dir)
-    written = ann.write_cells(vectors, ann.train_centres(vectors, W.DIM), W.DIM)
-    index = ann.open_cells(spark, written.path)
-    found = ann.search_cells(index, request_vectors(W.requests(spark, sf_dir, 10), W.DIM), W.DIM)
+    written = compressed.write_compressed(vectors, compressed.learn(vectors, W.DIM, measure=COSINE), W.DIM, COSINE)
+    index = compressed.open_compressed(spark, written.path, W.DIM, COSINE)
+    found = compressed.search_compressed(index, request_vectors(W.requests(spark, sf_dir, 10), W.DIM))
     return found.select("query_id", "chunk_id", "rank", shown_distance())
 
 
+_FIRST = """counted AS (SELECT round(sqrt(count(*)))::BIGINT AS cells FROM embeddings),
+firsts AS (SELECT vec_id, embedding::DOUBLE[] AS c, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS nth FROM embeddings),
+centres AS (SELECT nth AS cell, c FROM firsts, counted WHERE nth < cells),
+placed AS (SELECT vec_id, embedding::DOUBLE[] AS e, arg_min(cell, (round(pow(list_distance(embedding::DOUBLE[], c), 2), 9), cell)) AS cell
+           FROM embeddings, centres GROUP BY vec_id, embedding)"""
+
+
+@query("v7_compressed_given_codebook", f"""WITH {_FIRST},
+lefts AS (SELECT vec_id, cell, c, e, list_transform(e, lambda x, i: x - c[i]) AS l FROM placed JOIN centres USING (cell)),
+parts AS (SELECT vec_id, m, l[m * 8 + 1:m * 8 + 8] AS p FROM lefts, range(8) AS r(m)),
+entries AS (SELECT m, nth - cells AS j, p AS b FROM parts JOIN firsts USING (vec_id), counted WHERE nth >= cells AND nth < cells + 16),
+coded AS (SELECT vec_id, m, arg_min(b, (round(pow(list_distance(p, b), 2), 9), j)) AS b FROM parts JOIN entries USING (m) GROUP BY vec_id, m),
+known AS (SELECT vec_id, cell, list_transform(any_value(c), lambda x, i: x + flatten(list(b ORDER BY m))[i]) AS about
+  FROM coded JOIN lefts USING (vec_id) GROUP BY vec_id, cell),
+{W.hashed('benchmark', 'item_id', 'text', 'q')},
+probed AS (SELECT item_id, cell FROM q, centres
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(pow(list_distance(e::DOUBLE[], c), 2), 9), cell) <= 4),
+short AS (SELECT item_id, vec_id FROM q JOIN probed USING (item_id) JOIN known USING (cell)
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(pow(list_distance(e::DOUBLE[], about), 2), 9), vec_id) <= 30),
+pairs AS (SELECT item_id AS query_id, vec_id AS chunk_id, round(pow(list_distance(q.e::DOUBLE[], v.embedding::DOUBLE[]), 2), 9) AS distance
+  FROM short JOIN q USING (item_id) JOIN embeddings v USING (vec_id)),
+hits AS (SELECT *, {W.RANK} AS rank FROM pairs)
+SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM hits WHERE rank <= 10""")
+def v7_compressed_given(spark, sf_dir):
+    """The first vectors by md5 are the centres, the next sixteen give the codebooks; four cells, thirty exact comparisons."""
+    vectors = W.vectors(spark, sf_dir)
+    cells = round(vectors.count() ** 0.5)
+    rows = compressed.first_vectors(vectors, W.DIM, cells + 16)
+    blank = compressed.Codebook(rows[:cells], np.zeros((8, 1, 8)))
+    others = rows[cells:]
+    entries = blank.parts_of(others - blank.centres[blank.cells_of(others)[:, 0]]).transpose(1, 0, 2)
+    index = compressed.write_compressed(vectors, compressed.Codebook(rows[:cells], entries), W.DIM)
+    asked = request_vectors(W.requests(spark, sf_dir, 10), W.DIM)
+    found = compressed.search_compressed(index, asked, probes=4, shortlist=3)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), shown_distance())
+
+
 @query("v7_ann_topk_all_cells", f"""WITH {W.hits(10, distance=_COSINE)}
 SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM hits""")
 def v7_all(spark, sf_dir):
@@ -203,7 +241,8 @@ def v7_all(spark, sf_dir):
 
 
 @query("v7_ann_given_centres", f"""WITH centres AS (
-  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS cell, embedding AS c FROM embeddings WHERE vec_id % 37 = 0),
+  SELECT nth AS cell, c FROM (SELECT embedding AS c, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS nth FROM embeddings)
+  WHERE nth < (SELECT round(sqrt(count(*))) FROM embeddings)),
 placed AS (SELECT vec_id, arg_max(cell, (round(list_cosine_similarity(embedding::DOUBLE[], c::DOUBLE[]), 9), -cell)) AS cell
            FROM embeddings, centres GROUP BY vec_id),
 {W.hashed('benchmark', 'item_id', 'text', 'q')},
@@ -218,8 +257,7 @@ SELECT query_id, chunk_id, rank, round(distance, 6) AS distance FROM hits WHERE
 def v7_given(spark, sf_dir):
     """Some of the vectors are the centres; every query looks into three cells."""
     vectors = W.vectors(spark, sf_dir)
-    some = vectors.where("chunk_id % 37 = 0").orderBy("chunk_id").select("embedding").collect()
-    index = ann.write_cells(vectors, np.array([row["embedding"] for row in some], float), W.DIM)
+    index = ann.write_cells(vectors, ann.sampled_centres(vectors, W.DIM), W.DIM)
     found = ann.search_cells(index, request_vectors(W.requests(spark, sf_dir, 10), W.DIM), W.DIM, probes=3)
     return found.select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), shown_distance())
 
