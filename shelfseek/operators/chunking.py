@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,13 +92,13 @@ def character_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHU
     return _chunk_rows(docs, F.when(long, split(F.when(long, F.col("text")))).otherwise(whole))
 
 
-def paragraphs(text: Column, target_words: int = PARAGRAPH_WORDS) -> Column:
-    """Whole sentences packed in order until the next one would exceed ``target_words``."""
+def paragraphs(text: Column, target_words: int = PARAGRAPH_WORDS, split: Callable[[Column], Column] = sentences) -> Column:
+    """Whole sentences packed in order until the next one would exceed ``target_words``; ``split`` cuts them."""
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("words"))
     # A sentence has single spaces only, and none at its ends.
     sized = F.transform(
-        sentences(text),
+        split(text),
         lambda s: F.struct(s.alias("s"), (F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1).alias("n")),
     )
 
@@ -123,9 +123,14 @@ def paragraphs(text: Column, target_words: int = PARAGRAPH_WORDS) -> Column:
     return F.aggregate(sized, start, step, finish)
 
 
-def paragraph_chunks(docs: DataFrame, target_words: int = PARAGRAPH_WORDS) -> DataFrame:
-    """(product_id, text, …) → one row per paragraph chunk. No shuffle, no Python."""
-    return _chunk_rows(docs, paragraphs(F.col("text"), target_words))
+def paragraph_chunks(
+    docs: DataFrame, target_words: int = PARAGRAPH_WORDS, split: Callable[[Column], Column] = sentences
+) -> DataFrame:
+    """(product_id, text, …) → one row per paragraph chunk. No shuffle, no Python.
+
+    ``split`` may be a trained splitter, ``lambda text: split_sentences(text, model)``.
+    """
+    return _chunk_rows(docs, paragraphs(F.col("text"), target_words, split))
 
 
 def chunks_per_product(chunks: DataFrame) -> DataFrame:

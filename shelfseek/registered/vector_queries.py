@@ -12,6 +12,7 @@ from shelfseek.functions.text import sentences, squash, word_tokens
 from shelfseek.operators import catalog as C
 from shelfseek.operators import chunking as K
 from shelfseek.operators import embedding as E
+from shelfseek.operators import sentences as S
 from shelfseek.operators import topk as R
 from shelfseek.operators.nearest import COSINE, nearest
 from shelfseek.operators.quality import check_vectors
@@ -69,6 +70,53 @@ def t3(spark, sf_dir):
     return rows.select("product_id", (F.col("place") + 1).cast("bigint").alias("position"), "sentence")
 
 
+def _logs_sql(hits: str, total: str, share: str) -> str:
+    return f"""(CASE WHEN {hits} > 0 THEN {hits} * ln(greatest({share}, 1e-300)) ELSE 0 END
+  + CASE WHEN {total} - {hits} > 0 THEN ({total} - {hits}) * ln(greatest(1 - ({share}), 1e-300)) ELSE 0 END)"""
+
+
+def _trained_sql() -> str:
+    """``trained(product_id, i, w, ends)``: the words of every document and whether each closes a sentence."""
+    opening, closing = S.OPENING.replace("'", "''"), S.CLOSING.replace("'", "''")
+    return f"""words AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '{W.sql_space()}+', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS a
+  FROM documents),
+tokens AS (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM words),
+stems AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(w, '{opening}', ''), '{closing}', '')), '\\.$', '') AS stem,
+  ends_with(regexp_replace(w, '{opening}', ''), '.') AS point FROM tokens),
+typed AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(stem, '^[0-9]+$') THEN '{S.NUMBER}' ELSE stem END AS type FROM stems),
+counts AS (SELECT type, (count(*) FILTER (WHERE point))::DOUBLE AS p, (count(*) FILTER (WHERE NOT point))::DOUBLE AS q FROM typed WHERE type <> '' GROUP BY type),
+sums AS (SELECT sum(p + q) AS n, sum(p) AS points FROM counts),
+abbreviations AS (SELECT type FROM (
+  SELECT type, p, q, length(type) - length(replace(type, '.', '')) AS inner_, length(replace(type, '.', ''))::DOUBLE AS letters,
+    2 * ({_logs_sql('p', '(p + q)', f'{S.POINT_SHARE}::DOUBLE')} - {_logs_sql('p', '(p + q)', '(points / n)')}) AS ratio FROM counts, sums)
+  WHERE p > 0 AND p + q >= {S.LEAST_SEEN} AND (regexp_matches(type, '\\p{{L}}') OR type = '{S.NUMBER}')
+  AND ratio * exp(-letters) * (inner_ + 1) * pow(letters, -q) >= {S.ABBREVIATION_FROM}),
+judged AS MATERIALIZED (SELECT *, regexp_matches(w, '[!?]$') OR (ends_with(w, '.') AND type NOT IN (SELECT type FROM abbreviations)
+  AND NOT regexp_matches(type, '{S.INITIAL}')) AS sure FROM typed),
+neighbours AS MATERIALIZED (SELECT *, lag(sure) OVER (PARTITION BY doc_id ORDER BY i) AS follows, lead(type) OVER (PARTITION BY doc_id ORDER BY i) AS next_type,
+  lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next_word FROM judged),
+firsts AS (SELECT type, count(*)::DOUBLE AS f FROM neighbours WHERE follows AND type <> '' GROUP BY type),
+starters AS (SELECT type FROM (
+  SELECT type, f, p + q AS seen, sum(f) OVER () AS breaks, n FROM firsts JOIN counts USING (type), sums)
+  WHERE f / breaks > seen / n AND regexp_matches(type, '^\\p{{L}}') AND 2 * (
+    {_logs_sql('f', 'breaks', '(f / breaks)')} + {_logs_sql('(seen - f)', '(n - breaks)', '((seen - f) / (n - breaks))')}
+    - {_logs_sql('f', 'breaks', '(seen / n)')} - {_logs_sql('(seen - f)', '(n - breaks)', '(seen / n)')}) >= {S.STARTER_FROM}),
+trained AS (SELECT doc_id AS product_id, i, w, sure OR (ends_with(w, '.') AND coalesce(
+  regexp_matches(regexp_replace(next_word, '{opening}', ''), '^\\p{{Lu}}') AND next_type IN (SELECT type FROM starters), false)) AS ends FROM neighbours)"""
+
+
+@query("t3_sentence_split_trained", f"""WITH {_trained_sql()},
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY product_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS position
+  FROM trained)
+SELECT product_id, position::BIGINT AS position, string_agg(w, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY product_id, position""")
+def t3_trained(spark, sf_dir):
+    """Abbreviations, ordinals and sentence starters learned from all documents."""
+    docs = W.documents(spark, sf_dir)
+    model = S.learn(docs)
+    rows = item_rows(docs, S.split_sentences(F.col("text"), model), "place", "sentence")
+    return rows.select("product_id", (F.col("place") + 1).cast("bigint").alias("position"), "sentence")
+
+
 def spaced_sql(c: str) -> str:
     """SQL for text with one space between tokens; the same rules as the Spark chain."""
     steps = [
