@@ -183,7 +183,8 @@ def sentence_marks(sentence: Column) -> Column:
     One pattern finds all places, none of which overlap; at one place the first of ``SENTENCES`` holds. What it
     found is then named, once for every version.
     """
-    anything = "|".join(f"(?:{_wide(name, pattern)})" for name, pattern, _ in SENTENCES)
+    # every pattern begins with a word, so the other places of a sentence need not be tried
+    anything = r"\b(?:" + "|".join(f"(?:{_wide(name, pattern)})" for name, pattern, _ in SENTENCES) + ")"
     places = F.regexp_extract_all(sentence, F.lit(anything), F.lit(0))
     return F.flatten(F.transform(places, _marks_of_place))
 
