@@ -4,8 +4,9 @@
 scores its vectors block by block and keeps only the best k per query, so what is shuffled is the k best
 of every task and never the product of the two tables.
 
-Queries are broadcast in blocks of bounded size, one block after the other; each block scans the vectors
-once, so the vectors are never shuffled. A small query table is one block.
+Queries that fit one block are broadcast, so the vectors are never shuffled. More queries than that are joined
+by pivots, see ``pivots.nearest_join``. Only queries that probe cells, and few queries that ask for very many
+hits, come in several blocks, one after the other.
 """
 
 from __future__ import annotations
@@ -195,12 +196,13 @@ def _broadcast_search(vectors: DataFrame, table: pa.Table, dim: int, measure: st
     return vectors.mapInArrow(search, _HITS)
 
 
-def query_blocks(asked: DataFrame, dim: int, most: int) -> Iterator[pa.Table]:
+def query_blocks(asked: DataFrame, dim: int, most: int, first: pa.Table | None = None) -> Iterator[pa.Table]:
     """The queries as tables of about ``most`` rows that ask for about ``MAX_KEPT_ROWS`` hits in sum.
 
-    A single query may ask for more; it then keeps as many hits in a task as the task has vectors.
+    A single query may ask for more; it then keeps as many hits in a task as the task has vectors. ``first`` are
+    the first ``most`` + 1 queries, if they have been read already.
     """
-    table = asked.limit(most + 1).toArrow()
+    table = asked.limit(most + 1).toArrow() if first is None else first
     if table.num_rows <= most and np.asarray(table.column("k")).sum() <= MAX_KEPT_ROWS:
         yield _usable(table, dim)
         return
@@ -238,7 +240,13 @@ def nearest(
     )
     asked = asked.where(F.size("embedding") == dim)
     found = None
-    for table in query_blocks(asked, dim, max(1, max_broadcast_numbers // dim)):
+    most = max(1, max_broadcast_numbers // dim)
+    first = asked.limit(most + 1).toArrow()
+    if first.num_rows > most and "cells" not in asked.columns:
+        from shelfseek.operators.pivots import nearest_join
+
+        return nearest_join(vectors, queries, dim, measure).hits
+    for table in query_blocks(asked, dim, most, first):
         if table.num_rows == 0:
             continue
         hits = _broadcast_search(stored, table, dim, measure)
