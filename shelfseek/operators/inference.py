@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,18 +42,68 @@ def effective_settings(prompts: DataFrame, defaults: dict[str, float] | None = N
     return prompts.withColumns({name: setting(name, default) for name, default in given.items()})
 
 
-def _try(model: Model, rows: list[dict], pause: Callable[[float], None]) -> tuple[list, int, Exception | None]:
-    """(answers, attempts, what went wrong). An answer may itself be an exception, for its prompt alone."""
+class Window:
+    """How many calls of a task may run at once.
+
+    Starts at ``most``. A retryable refusal halves it, once for all calls that began before the last halving; a
+    window's worth of answers widens it by one call again.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.limit = float(most)
+        self._halvings = 0
+        self._running = 0
+        self._changed = threading.Condition()
+
+    def enter(self) -> int:
+        """Wait for a place; returns what ``refused`` wants to know."""
+        with self._changed:
+            self._changed.wait_for(lambda: self._running < int(self.limit))
+            self._running += 1
+            return self._halvings
+
+    def leave(self) -> None:
+        with self._changed:
+            self._running -= 1
+            self._changed.notify_all()
+
+    def refused(self, began: int) -> None:
+        with self._changed:
+            if began == self._halvings:
+                self.limit = max(1.0, self.limit / 2)
+                self._halvings += 1
+
+    def answered(self) -> None:
+        with self._changed:
+            self.limit = min(float(self.most), self.limit + 1 / self.limit)
+            self._changed.notify_all()
+
+
+def _try(
+    model: Model, rows: list[dict], pause: Callable[[float], None], window: Window
+) -> tuple[list, int, Exception | None]:
+    """(answers, attempts, what went wrong). An answer may itself be an exception, for its prompt alone.
+
+    A call that waits before its next attempt holds no place in the window.
+    """
     for attempt in range(1, MAX_TRIES + 1):
+        began = window.enter()
         try:
             answers = list(model(rows))
             if len(answers) != len(rows):
                 raise ValueError(f"{len(answers)} answers to {len(rows)} prompts")
+            window.answered()
             return answers, attempt, None
         except Exception as error:  # noqa: BLE001  any failure of a model is a row with its reason
-            if getattr(error, "status", None) not in RETRYABLE or attempt == MAX_TRIES:
+            retryable = getattr(error, "status", None) in RETRYABLE
+            if retryable:
+                window.refused(began)
+            if not retryable or attempt == MAX_TRIES:
                 return [], attempt, error
-            pause(2 ** (attempt - 1))
+        finally:
+            window.leave()
+        pause(2 ** (attempt - 1))
     raise AssertionError("unreachable")
 
 
@@ -60,15 +113,17 @@ def _reason(error: Exception) -> str:
     return f"Error: {type(error).__name__}"
 
 
-def _ask(model: Model, rows: list[dict], pause: Callable[[float], None]) -> list[tuple[str, str, int, str | None]]:
+def _ask(
+    model: Model, rows: list[dict], pause: Callable[[float], None], window: Window
+) -> list[tuple[str, str, int, str | None]]:
     """(response, status, attempts, error) of every prompt.
 
     A group that fails is asked again prompt by prompt, as is a prompt that fails within a group, so that one
     bad prompt does not spoil its neighbours; attempts count from there.
     """
-    answers, attempts, error = _try(model, rows, pause)
+    answers, attempts, error = _try(model, rows, pause, window)
     if error is not None and len(rows) > 1:
-        return [result for row in rows for result in _ask(model, [row], pause)]
+        return [result for row in rows for result in _ask(model, [row], pause, window)]
     if error is not None:
         return [(_reason(error), "error", attempts, str(error))]
     results = []
@@ -76,42 +131,75 @@ def _ask(model: Model, rows: list[dict], pause: Callable[[float], None]) -> list
         if not isinstance(answer, Exception):
             results.append((answer, "ok", attempts, None))
         elif len(rows) > 1:
-            results += _ask(model, [row], pause)
+            results += _ask(model, [row], pause, window)
         else:
             results.append((_reason(answer), "error", attempts, str(answer)))
     return results
 
 
+def _in_order(
+    groups: Iterator[pd.DataFrame], ask: Callable[[pd.DataFrame], list], in_flight: int
+) -> Iterator[tuple[pd.DataFrame, list]]:
+    """Every group with its answers, in the order of the groups, ``in_flight`` of them asked at once.
+
+    One more window of groups is read ahead, so that a slow call does not hold up the calls behind it.
+    """
+    if in_flight == 1:
+        yield from ((group, ask(group)) for group in groups)
+        return
+    waiting: deque[tuple[pd.DataFrame, Future]] = deque()
+    pool = ThreadPoolExecutor(in_flight)
+    try:
+        for group in groups:
+            waiting.append((group, pool.submit(ask, group)))
+            if len(waiting) == 2 * in_flight:
+                done, answers = waiting.popleft()
+                yield done, answers.result()
+        while waiting:
+            done, answers = waiting.popleft()
+            yield done, answers.result()
+    finally:
+        pool.shutdown(cancel_futures=True)
+
+
 def run_prompts(
     prompts: DataFrame,
     make_model: Callable[[], Model],
     group_size: int = GROUP_SIZE,
     concurrency: int | None = None,
     pause: Callable[[float], None] = time.sleep,
+    in_flight: int = 1,
 ) -> DataFrame:
     """(prompt_id, response, status, attempts, error) for every prompt.
 
     ``make_model`` runs once per task. A call gets up to ``group_size`` prompts; a failed call is
     repeated for the retryable codes, then tried prompt by prompt. What still fails, with any exception, is a
-    row whose response says so. At most ``concurrency`` tasks call the model at once. Write the answers to a
-    table before using them twice: each use of the plan calls the model.
+    row whose response says so. At most ``concurrency`` tasks call the model at once, each with up
+    to ``in_flight`` calls (then the model must allow calls from several threads); a refusal narrows the task's
+    window of calls, see ``Window``, and only the refused call waits. Answers keep the order of the prompts. Write
+    the answers to a table before using them twice: each use of the plan calls the model.
     """
     spread = prompts.repartition(concurrency, "prompt_id") if concurrency else prompts
     columns = prompts.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
-        for frame in frames:
-            for start in range(0, len(frame), group_size):
-                part = frame.iloc[start : start + group_size]
-                rows = [dict(zip(columns, values)) for values in part.itertuples(index=False, name=None)]
-                response, status, attempts, error = zip(*_ask(model, rows, pause), strict=True)
-                yield pd.DataFrame(
-                    {
-                        "prompt_id": part["prompt_id"].to_numpy(), "response": response, "status": status,
-                        "attempts": attempts, "error": error,
-                    }
-                )
+        model, window = make_model(), Window(in_flight)
+
+        def ask(part: pd.DataFrame) -> list:
+            rows = [dict(zip(columns, values)) for values in part.itertuples(index=False, name=None)]
+            return _ask(model, rows, pause, window)
+
+        groups = (
+            frame.iloc[start : start + group_size] for frame in frames for start in range(0, len(frame), group_size)
+        )
+        for part, results in _in_order(groups, ask, in_flight):
+            response, status, attempts, error = zip(*results, strict=True)
+            yield pd.DataFrame(
+                {
+                    "prompt_id": part["prompt_id"].to_numpy(), "response": response, "status": status,
+                    "attempts": attempts, "error": error,
+                }
+            )
 
     return spread.mapInPandas(run, _ANSWER)
 

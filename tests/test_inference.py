@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import functions as F
 
 from shelfseek.operators import inference as M
@@ -70,7 +73,7 @@ def test_pauses_double():
     def model(rows):
         raise M.ModelError(429)
 
-    assert M._ask(model, [{}], waited.append)[0][2] == 5
+    assert M._ask(model, [{}], waited.append, M.Window(1))[0][2] == 5
     assert waited == [1, 2, 4, 8]
 
 
@@ -84,3 +87,78 @@ def test_concurrency_bounds_the_tasks(spark):
     answers = M.run_prompts(_prompts(spark, 50), lambda: lambda rows: ["x"] * len(rows), concurrency=3)
     assert answers.rdd.getNumPartitions() <= 3
     assert answers.count() == 50
+
+
+def test_fifty_calls_in_flight_keep_their_order(spark):
+    """No call is answered before fifty wait: a task with fewer in flight would fail at the barrier."""
+
+    def make():
+        together = threading.Barrier(50, timeout=20)
+
+        def model(rows):
+            together.wait()
+            time.sleep(0.2 if rows[0]["prompt_id"] % 7 == 0 else 0)
+            return [row["prompt"] for row in rows]
+
+        return model
+
+    answers = M.run_prompts(_prompts(spark, 100), make, group_size=1, in_flight=50).collect()
+    assert [(r["prompt_id"], r["response"], r["status"]) for r in answers] == [(i, f"p{i}", "ok") for i in range(100)]
+
+
+def test_a_refusal_narrows_the_window(spark):
+    """A service that takes six calls at once, asked by sixty threads: everything is answered in the end."""
+
+    def make():
+        lock, running = threading.Lock(), [0]
+
+        def model(rows):
+            with lock:
+                running[0] += 1
+                full = running[0] > 6
+            try:
+                time.sleep(0.02)
+                if full:
+                    raise M.ModelError(429)
+                return [row["prompt"] for row in rows]
+            finally:
+                with lock:
+                    running[0] -= 1
+
+        return model
+
+    pause = lambda seconds: time.sleep(0.1 * seconds)
+    answers = M.run_prompts(_prompts(spark, 300), make, group_size=1, in_flight=60, pause=pause).collect()
+    assert [r["prompt_id"] for r in answers] == list(range(300))
+    assert {r["status"] for r in answers} == {"ok"}
+    assert any(r["attempts"] > 1 for r in answers)
+
+
+def test_window_halves_once_per_round():
+    window = M.Window(8)
+    began = [window.enter() for _ in range(8)]
+    for one in began:
+        window.refused(one)
+    assert window.limit == 4
+    for _ in range(8):
+        window.leave()
+    window.refused(window.enter())
+    assert window.limit == 2
+    for _ in range(100):
+        window.answered()
+    assert window.limit == 8
+
+
+def test_an_error_of_the_task_ends_it(spark):
+    """What is not a failure of the model is not swallowed by the threads."""
+
+    def broken(group):
+        raise RuntimeError("no")
+
+    groups = iter([[1], [2], [3]])
+    try:
+        list(M._in_order(groups, broken, 2))
+    except RuntimeError as error:
+        assert str(error) == "no"
+    else:
+        raise AssertionError("the error was lost")
