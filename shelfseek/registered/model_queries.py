@@ -69,6 +69,14 @@ def l1(spark, sf_dir):
     return M.run_prompts(_prompts(spark, sf_dir), _counting_model).select("prompt_id", "response", "status")
 
 
+@query("l1_calls_in_flight", f"""WITH {_PROMPTS}
+SELECT prompt_id, n || '/' || coalesce(length(system_instruction), 0) AS response, 'ok' AS status FROM prompts""")
+def l1_in_flight(spark, sf_dir):
+    """The same with sixteen groups of five asked at once in every task."""
+    answers = M.run_prompts(_prompts(spark, sf_dir), _counting_model, group_size=5, in_flight=16)
+    return answers.select("prompt_id", "response", "status")
+
+
 def _failing_model() -> M.Model:
     """Refuses a lone prompt n mod 7 times with 429 first, and any with 400 where n is a multiple of 11.
 
@@ -208,7 +216,25 @@ def s1_cells(spark, sf_dir):
 @query("s2_stream_query_log", f"""WITH {search_sql(100)}
 SELECT text AS query_text, 1::BIGINT AS user_id, product_id FROM benchmark LEFT JOIN found ON query_id = item_id""")
 def s2(spark, sf_dir):
-    out = _run(spark, sf_dir, Z.stream_query_log)
+    return _logged(spark, _run(spark, sf_dir, Z.stream_query_log))
+
+
+@query("s2_repeated_requests", f"""WITH {search_sql(100)}
+SELECT text AS query_text, 1::BIGINT AS user_id, product_id FROM benchmark LEFT JOIN found ON query_id = item_id""")
+def s2_repeated(spark, sf_dir):
+    """Every request comes twice within a run and again after a restart; each is logged once."""
+    folder, out, progress = (new_path(spark, name) for name in ("requests", "stream", "progress"))
+    asked = W.requests(spark, sf_dir, 100).select(*[F.col(f.name).cast(f.dataType) for f in SEARCH_REQUEST.fields])
+    for _ in range(2):
+        for _ in range(2):
+            asked.coalesce(1).write.mode("append").parquet(folder)
+        stream = Z.request_stream(spark, folder, SEARCH_REQUEST, files_per_batch=1)
+        running = Z.stream_query_log(stream, W.vectors(spark, sf_dir), W.products(spark, sf_dir), W.DIM, out, progress)
+        running.awaitTermination()
+    return _logged(spark, out)
+
+
+def _logged(spark, out: str) -> DataFrame:
     entries = Z.read_batches(spark, f"{out}/query_log", QUERY_LOG)
     bridge = Z.read_batches(spark, f"{out}/query_log_product", QUERY_LOG_PRODUCT)
     return entries.join(bridge, "query_id", "left").select(

@@ -17,6 +17,9 @@ from shelfseek.operators.upsert import load_time
 from shelfseek.plans.ann import CellIndex
 from shelfseek.plans.search import search
 
+# How long the log remembers a request's id.
+REMEMBER = "7 days"
+
 
 def request_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -70,16 +73,28 @@ def log_batch(batch: DataFrame, results: DataFrame, out: str, batch_id: int) ->
     _replace_batch(bridge, f"{out}/query_log_product", batch_id)
 
 
+def first_requests(stream: DataFrame, remember: str = REMEMBER) -> DataFrame:
+    """The requests of a stream without those whose query_id has come before, by time of arrival."""
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    return arrived.dropDuplicatesWithinWatermark(["query_id"]).drop("_arrived")
+
+
 def stream_query_log(
     stream: DataFrame, vectors: DataFrame, products: DataFrame, dim: int, out: str, checkpoint: str,
-    embedder: TextEmbedder | None = None,
+    embedder: TextEmbedder | None = None, remember: str = REMEMBER,
 ) -> StreamingQuery:
-    """Search every request and log it with its matched products."""
+    """Search every request and log it with its matched products, once per query_id.
+
+    A request that comes again, in the same batch, a later one or after a restart, is neither searched nor logged
+    if the first came at most ``remember`` ago; the first to arrive counts. The ids are kept as keyed state next to
+    the stream's progress and dropped when they are older. A null id is an id like any other. Many millions of ids
+    want the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         log_batch(batch, search(batch, vectors, products, dim, embedder=embedder), out, batch_id)
 
-    return _per_batch(stream, checkpoint, write)
+    return _per_batch(first_requests(stream, remember), checkpoint, write)
 
 
 def stream_query_volume(

@@ -54,6 +54,27 @@ def test_replayed_batch_changes_nothing(spark, tables):
     assert len(contents()[0]) == 3 and contents()[1] == first[1]
 
 
+def test_a_request_is_logged_once(spark, tables):
+    """Repeated within a file, in a later batch and after a restart; a new request in between is logged."""
+    folder, out, progress = (new_path(spark, name) for name in ("in", "log", "progress"))
+    rounds = [
+        [[(1, "alpha", 5, 1), (1, "alpha", 5, 1), (2, "beta", 5, 1)], [(2, "beta", 5, 1), (3, "gamma", 5, 2)]],
+        [[(1, "alpha", 5, 1), (4, "delta", 5, 2), (3, "gamma", 5, 2)]],
+        [[(4, "delta", 5, 2)]],
+    ]
+    logged = []
+    for files in rounds:
+        for rows in files:
+            _requests(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = Z.request_stream(spark, folder, SEARCH_REQUEST, files_per_batch=1)
+        Z.stream_query_log(stream, *tables, out, progress).awaitTermination()
+        entries = Z.read_batches(spark, f"{out}/query_log", QUERY_LOG).select("query_text").collect()
+        logged.append(sorted(r["query_text"] for r in entries))
+    bridge = Z.read_batches(spark, f"{out}/query_log_product", QUERY_LOG_PRODUCT)
+    assert bridge.groupBy("query_id", "product_id").count().where("count > 1").count() == 0
+    assert logged == [["alpha", "beta", "gamma"], ["alpha", "beta", "delta", "gamma"], ["alpha", "beta", "delta", "gamma"]]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_volume_does_not_depend_on_the_session_zone(spark, zone):
     folder, out, progress = (new_path(spark, name) for name in ("in", "out", "progress"))
