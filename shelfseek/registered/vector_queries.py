@@ -18,7 +18,7 @@ from shelfseek.operators.nearest import COSINE, nearest
 from shelfseek.operators.pivots import nearest_join
 from shelfseek.operators.quality import check_vectors
 from shelfseek.operators.reports import matched_products
-from shelfseek.plans import ann, compressed
+from shelfseek.plans import ann, compressed, filtered
 from shelfseek.plans.index import CHUNKS, build_index, chunk_vectors
 from shelfseek.plans.search import request_vectors, search
 from shelfseek.registered import views as W
@@ -206,6 +206,26 @@ def c7_join(spark, sf_dir):
     )
 
 
+@query("b11_filtered_cells", """WITH pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label::BIGINT AS category_id,
+    round(1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS distance
+  FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM pairs)
+SELECT query_id, chunk_id, category_id, rank, round(distance, 6) AS distance FROM ranked WHERE rank <= 10""")
+def b11_cells(spark, sf_dir):
+    """Every twentieth vector asks for the nearest ones of its own category, in all cells that hold it."""
+    vectors = W.vectors(spark, sf_dir).withColumn("category_id", F.col("product_id"))
+    index = filtered.write_filtered_cells(vectors, ann.sampled_centres(vectors, W.DIM), W.DIM)
+    queries = vectors.where(F.col("chunk_id") % 20 == 0).select(
+        F.col("chunk_id").alias("query_id"), F.lit(10).alias("k"), "category_id", "embedding"
+    )
+    found = filtered.search_filtered_cells(index, queries, W.DIM, exact=True)
+    return found.select(
+        "query_id", "chunk_id", F.col("product_id").alias("category_id"), F.col("rank").cast("bigint").alias("rank"),
+        shown_distance(),
+    )
+
+
 @query("v4_knn_l2_ids", f"""WITH {W.hits(5)}
 SELECT query_id, chunk_id, rank, round(sqrt(distance), 6) AS distance FROM hits""")
 def v4(spark, sf_dir):
