@@ -19,14 +19,18 @@ HOSTED_BATCH = 30
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+def word_hashes(text: Column) -> Column:
+    """The first four bytes of the MD5 of every word, lower-cased; words are runs of letters and digits."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.unhex(F.substring(F.md5(w.cast("binary")), 1, 8)))
+
+
 def hashed_vector(text: Column, dim: int = DIM) -> Column:
     """Unit-length term counts, each word hashed to one of ``dim`` places; all zero without words.
 
     A word's place is the number in the first four bytes of its MD5, modulo ``dim``. Words and hashes
     are made in the JVM; counting and scaling take one Arrow batch at a time.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.unhex(F.substring(F.md5(w.cast("binary")), 1, 8)))
 
     @F.arrow_udf("array<float>")
     def scaled_counts(rows: pa.Array) -> pa.Array:
@@ -39,7 +43,7 @@ def hashed_vector(text: Column, dim: int = DIM) -> Column:
         values = (counts / np.where(size == 0, 1.0, size)).astype(np.float32).ravel()
         return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, dim, dtype=np.int32), values)
 
-    return scaled_counts(hashes)
+    return scaled_counts(word_hashes(text))
 
 
 def embed(df: DataFrame, text_col: str, dim: int = DIM, out_col: str = "embedding") -> DataFrame:

@@ -12,6 +12,7 @@ from shelfseek.functions.text import sentences, squash, word_tokens
 from shelfseek.operators import catalog as C
 from shelfseek.operators import chunking as K
 from shelfseek.operators import embedding as E
+from shelfseek.operators import latent as LT
 from shelfseek.operators import sentences as S
 from shelfseek.operators import topk as R
 from shelfseek.operators.nearest import COSINE, nearest
@@ -172,6 +173,47 @@ def v1(spark, sf_dir):
     )
 
 
+#: Given axes of the latent embedder: the entry of a place along an axis is a rule over small whole numbers.
+LATENT_PLACES, LATENT_DIM = 4096, 4
+
+
+def _given_axes() -> np.ndarray:
+    place, axis = np.mgrid[:LATENT_PLACES, :LATENT_DIM]
+    return ((place * 31 + axis * 17) % 13 - 6).astype(np.float64)
+
+
+@query("v1_latent_given_axes", f"""WITH words AS (
+  SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
+counts AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {LATENT_PLACES} AS p, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL),
+held AS (SELECT p, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS rarity FROM counts GROUP BY p),
+along AS (
+  SELECT doc_id, axis, sum(ln(1 + n) * rarity * ((p * 31 + axis * 17) % 13 - 6)) AS x
+  FROM counts JOIN held USING (p), range({LATENT_DIM}) t(axis) GROUP BY ALL),
+sizes AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM along GROUP BY ALL)
+SELECT d.doc_id AS product_id, a.axis::BIGINT AS axis, round(coalesce(x / size, 0)::FLOAT::DOUBLE, 5) AS weight
+FROM documents d CROSS JOIN range({LATENT_DIM}) a(axis) LEFT JOIN along USING (doc_id, axis) LEFT JOIN sizes USING (doc_id)""")
+def v1_latent_given_axes(spark, sf_dir):
+    """The learned embedder's expression with the rarity of all documents' words and axes that are given."""
+    docs = W.documents(spark, sf_dir)
+    rarity = LT.place_rarity(docs.select(E.word_hashes(F.coalesce("text", F.lit(""))).alias("hashes")), LATENT_PLACES)
+    embedded = docs.select("product_id", LT.latent_vector(F.col("text"), rarity, _given_axes()).alias("embedding"))
+    places = item_rows(embedded, F.col("embedding"), "axis", "x")
+    weight = F.round(F.col("x").cast("double"), 5)
+    return places.select("product_id", F.col("axis").cast("bigint").alias("axis"), weight.alias("weight"))
+
+
+@query("v1_learned_embedding", """SELECT doc_id AS product_id, 64::BIGINT AS dim,
+  CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS size FROM documents""")
+def v1_learned_embedding(spark, sf_dir):
+    """Axes learned from all documents; the SQL knows of the vectors that they are of unit length."""
+    docs = W.documents(spark, sf_dir)
+    model = LT.learn(docs, "text", 64, places=1 << 15)
+    embedded = docs.select("product_id", model.embedder("latent-64").vector(F.col("text")).alias("embedding"))
+    return embedded.select(
+        "product_id", F.size("embedding").cast("bigint").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("size")
+    )
+
+
 @query("v3_knn_l2_squared", f"""WITH {W.hits(10)}
 SELECT query_id, chunk_id, product_id, rank, round(distance, 6) AS distance FROM hits""")
 def v3(spark, sf_dir):
