@@ -15,6 +15,7 @@ from shelfseek.registered.registry import query
 from shelfseek.registered.text_queries import clean_description_sql
 from shelfseek.schemas import CATEGORY, PRODUCT
 from shelfseek.sources import scan
+from shelfseek.sources.csv_ranges import split_csv_descriptions, split_csv_rows
 from shelfseek.workspace import new_path
 
 
@@ -61,19 +62,34 @@ def _csv_folder(spark, sf_dir) -> str:
     return path
 
 
-@query("a2_csv_scan", """SELECT p_partkey::VARCHAR AS key, p_name || ', "' || p_type || '"' || chr(10) || p_brand AS title,
+_A2_SQL = """SELECT p_partkey::VARCHAR AS key, p_name || ', "' || p_type || '"' || chr(10) || p_brand AS title,
   CASE p_type WHEN 'PROMO' THEN NULL WHEN 'SMALL' THEN '  ' ELSE p_name END AS description,
-  CASE p_type WHEN 'LARGE' THEN NULL WHEN 'MEDIUM' THEN ' ' ELSE p_brand END AS store FROM part""")
+  CASE p_type WHEN 'LARGE' THEN NULL WHEN 'MEDIUM' THEN ' ' ELSE p_brand END AS store FROM part"""
+_A3_SQL = """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS product_id, p_name AS text
+FROM part QUALIFY p_type NOT IN ('PROMO', 'SMALL')"""
+
+
+@query("a2_csv_scan", _A2_SQL)
 def a2(spark, sf_dir):
     return scan.csv_scan(spark, _csv_folder(spark, sf_dir), _CSV)
 
 
-@query("a3_csv_description_scan", """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS product_id, p_name AS text, p_type
-FROM part QUALIFY p_type NOT IN ('PROMO', 'SMALL')""".replace(", p_type\nFROM", "\nFROM"))
+@query("a2_csv_ranges", _A2_SQL)
+def a2_csv_ranges(spark, sf_dir):
+    """Every file by as many tasks as it has byte ranges."""
+    return split_csv_rows(spark, _csv_folder(spark, sf_dir), _CSV).drop("row_number")
+
+
+@query("a3_csv_description_scan", _A3_SQL)
 def a3(spark, sf_dir):
     return scan.csv_descriptions(spark, _csv_folder(spark, sf_dir), _CSV)
 
 
+@query("a3_csv_description_ranges", _A3_SQL)
+def a3_csv_description_ranges(spark, sf_dir):
+    return split_csv_descriptions(spark, _csv_folder(spark, sf_dir), _CSV)
+
+
 def _text_folder(spark, sf_dir) -> str:
     """The documents as text files, in a folder per source."""
     path = new_path(spark, "texts")
