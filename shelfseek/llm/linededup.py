@@ -66,7 +66,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 class Runs:
-    """The sorted runs of one job, as bucketed tables of the session's catalog."""
+    """The sorted runs of one job: bucketed tables below the shared folder, known to the session's catalog while in use.
+
+    Files of merged runs stay there, as those of all intermediate tables do.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
@@ -84,7 +87,9 @@ class Runs:
         """Write the rows as a run of ``level``; returns them as written. Merges full levels."""
         name = f"line_run_{uuid.uuid4().hex}"
         spread = rows.repartition(self.buckets, "h") if level else rows
-        spread.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+        spread.write.option("path", new_path(self.spark, "line-run")).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(
+            name, format="parquet"
+        )
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)

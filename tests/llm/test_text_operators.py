@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfseek.llm import licences, linededup, mixing, packing, quality, queries, simhash, toxicity, warc
 from shelfseek.llm.components import components
+from shelfseek.workspace import shared_root
 
 
 # --- components -----------------------------------------------------------------------------------------
@@ -181,6 +182,8 @@ def test_runs_are_compacted_and_removed(spark, documents):
         runs.compact()
         assert runs.unseen(first).count() == 0
     assert [len(level) for level in runs.levels] == [0, 0, 1]
+    (file,) = {f.rsplit("/", 2)[0] for f in spark.table(runs.levels[2][0]).inputFiles()}
+    assert file.split(":")[-1].lstrip("/") == shared_root(spark).split(":")[-1].strip("/") + "/shelfseek"
     runs.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
