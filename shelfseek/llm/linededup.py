@@ -66,15 +66,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 class Runs:
-    """The sorted runs of one job: bucketed tables below the shared folder, known to the session's catalog while in use.
-
-    Files of merged runs stay there, as those of all intermediate tables do.
-    """
+    """The sorted runs of one job: bucketed tables of a database of their own, whose folder lies below the shared one."""
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.database = f"line_runs_{uuid.uuid4().hex}"
+        folder = new_path(spark, "line-runs").replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{folder}'")
 
     def unseen(self, first: DataFrame) -> DataFrame:
         """The rows whose hash is in no run yet."""
@@ -85,11 +85,9 @@ class Runs:
 
     def add(self, rows: DataFrame, level: int = 0) -> DataFrame:
         """Write the rows as a run of ``level``; returns them as written. Merges full levels."""
-        name = f"line_run_{uuid.uuid4().hex}"
+        name = f"{self.database}.run_{uuid.uuid4().hex}"
         spread = rows.repartition(self.buckets, "h") if level else rows
-        spread.write.option("path", new_path(self.spark, "line-run")).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(
-            name, format="parquet"
-        )
+        spread.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)
@@ -113,6 +111,7 @@ class Runs:
         for run in [run for level in self.levels for run in level]:
             self.spark.sql(f"DROP TABLE {run}")
         self.levels = []
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database}")
 
 
 def _cuts(docs: DataFrame, batches: int) -> list[int]:
