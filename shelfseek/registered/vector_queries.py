@@ -203,7 +203,7 @@ def v1_latent_given_axes(spark, sf_dir):
 
 
 @query("v1_learned_embedding", """SELECT doc_id AS product_id, 64::BIGINT AS dim,
-  CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS size FROM documents""")
+  CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS size FROM documents""")
 def v1_learned_embedding(spark, sf_dir):
     """Axes learned from all documents; the SQL knows of the vectors that they are of unit length."""
     docs = W.documents(spark, sf_dir)
