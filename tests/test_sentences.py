@@ -73,3 +73,27 @@ def test_paragraphs_follow_the_splitter(spark, model):
 def test_nothing_to_learn_from(spark):
     assert S.learn(spark.createDataFrame([(1, None)], "product_id bigint, text string")) == S.SentenceModel()
     assert S.learn(spark.createDataFrame([], "product_id bigint, text string")) == S.SentenceModel()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_typed_after_they_are_counted(spark, texts):
+    """Each different word once, not each word of every text; nor is a text cut twice."""
+    docs = spark.createDataFrame([(text,) for text in texts], "text string")
+    for counted in (S.type_counts(docs), S.first_counts(docs, ["dr"])):
+        typing, _, counting = _plan(counted).partition("HashAggregate(keys=[word")
+        assert "RLIKE" in typing and "##" in typing
+        assert counting.count("Generate explode") == 1 and "size(" not in counting
+    assert "##" not in _plan(S.type_counts(docs)).partition("HashAggregate(keys=[word")[2]
+
+
+def test_many_starters_are_one_constant(spark):
+    """The plan has a look-up in buckets and no list to be gone through; every type is found in its bucket."""
+    many = tuple(sorted({f"wort{i}" for i in range(5000)} | {"é'ß\"", "the"}))
+    model = S.SentenceModel(("dr",), many)
+    text = "Dr. Wort77 came. Wort5001 Dr. Wort4999 Dr. Ross Dr. The end. É'ß\" it is."
+    assert split(spark, model, text) == ["Dr.", "Wort77 came.", "Wort5001 Dr.", "Wort4999 Dr. Ross Dr.", "The end.", "É'ß\" it is."]
+    plan = _plan(spark.createDataFrame([(text,)], "t string").select(S.split_sentences(F.col("t"), model)))
+    assert " IN " not in plan and "INSET" not in plan
