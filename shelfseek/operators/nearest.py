@@ -27,7 +27,9 @@ COSINE = "cosine"
 MAX_BROADCAST_NUMBERS = 8_000_000
 MAX_KEPT_ROWS = 1_000_000
 _QUERIES_PER_BLOCK = 256
-_PAIRS_PER_STEP = 100_000
+# What a task scores at once, however large its batches are: rows, and pairs that are scored exactly.
+_ROWS_PER_STEP = 4096
+_PAIRS_PER_STEP = 10_000
 # Distances are ranked at this resolution, so that the order of summation cannot change a result.
 _DECIMALS = 9
 # Bounds on the error of a single-precision distance, relative to the squared lengths, and of rounding.
@@ -167,7 +169,8 @@ def _scan(batches, queries: pa.Table, dim: int, measure: str) -> Iterator[pa.Rec
     """The best rows of all ``batches`` for every query, one block of queries at a time."""
     cuts = range(0, queries.num_rows, _QUERIES_PER_BLOCK)
     blocks = [_Block(queries.slice(cut, _QUERIES_PER_BLOCK), dim, measure) for cut in cuts]
-    for batch in batches:
+    parts = (batch.slice(start, _ROWS_PER_STEP) for batch in batches for start in range(0, batch.num_rows, _ROWS_PER_STEP))
+    for batch in parts:
         batch = _usable(batch, dim)
         if batch.num_rows == 0:
             continue
