@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DIM = 384
 HOSTED_DIM = 300
 HOSTED_BATCH = 30
+# Texts whose words are counted at once, however large an Arrow batch is.
+_ROWS_PER_STEP = 512
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -29,18 +31,23 @@ def hashed_vector(text: Column, dim: int = DIM) -> Column:
     """Unit-length term counts, each word hashed to one of ``dim`` places; all zero without words.
 
     A word's place is the number in the first four bytes of its MD5, modulo ``dim``. Words and hashes
-    are made in the JVM; counting and scaling take one Arrow batch at a time.
+    are made in the JVM; counting and scaling take some rows of an Arrow batch at a time.
     """
 
-    @F.arrow_udf("array<float>")
-    def scaled_counts(rows: pa.Array) -> pa.Array:
+    def scaled(rows: pa.Array) -> np.ndarray:
         flat = rows.flatten().cast(pa.binary(4))
         numbers = np.frombuffer(flat.buffers()[1], ">u4", len(flat), flat.offset * 4) if len(flat) else []
         row = np.repeat(np.arange(len(rows)), np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))
         cells = row * dim + np.asarray(numbers, np.int64) % dim
         counts = np.bincount(cells, minlength=len(rows) * dim).reshape(len(rows), dim)
         size = np.sqrt((counts * counts).sum(1, keepdims=True))
-        values = (counts / np.where(size == 0, 1.0, size)).astype(np.float32).ravel()
+        return (counts / np.where(size == 0, 1.0, size)).astype(np.float32).ravel()
+
+    @F.arrow_udf("array<float>")
+    def scaled_counts(rows: pa.Array) -> pa.Array:
+        values = np.empty(len(rows) * dim, np.float32)
+        for start in range(0, len(rows), _ROWS_PER_STEP):
+            values[start * dim : (start + _ROWS_PER_STEP) * dim] = scaled(rows.slice(start, _ROWS_PER_STEP))
         return pa.ListArray.from_arrays(np.arange(0, len(values) + 1, dim, dtype=np.int32), values)
 
     return scaled_counts(word_hashes(text))

@@ -243,3 +243,11 @@ def test_a_task_holds_little_beside_the_hits_it_keeps(k):
     tracemalloc.stop()
     assert sum(part.num_rows for part in found) == 400 * k
     assert peak < 27e6
+
+
+def test_texts_of_a_large_batch_are_embedded_in_steps(spark, monkeypatch):
+    texts = [" ".join(f"w{i % 7 * j}" for j in range(i % 5)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").coalesce(1)
+    whole = E.embed(docs, "t", 16).orderBy("i").collect()
+    monkeypatch.setattr(E, "_ROWS_PER_STEP", 7)
+    assert E.embed(docs, "t", 16).orderBy("i").collect() == whole
