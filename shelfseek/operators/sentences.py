@@ -6,8 +6,8 @@ ordinals are learned alike. A single letter with a point is an initial. A type t
 far more often than chance starts sentences, and then ends one even behind an abbreviation.
 
 Learning is two pre-aggregated counts over all texts, each made once and written; what reaches the driver are the
-types that passed, which are few: the score of an abbreviation falls with the exponent of its length. Words are counted
-as they stand and typed afterwards, once for each different word. A sentence can end only behind a word with . ! or ? at
+types that passed: few abbreviations, whose score falls with the exponent of the length, and the starters, which grow
+with the vocabulary. Words are counted as they stand and typed afterwards, once for each different word. A sentence can end only behind a word with . ! or ? at
 its end, so texts are cut there first and only those places are judged. Splitting is a column expression.
 """
 
